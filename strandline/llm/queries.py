@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import boilerplate
+from strandline.llm import boilerplate, mojibake
 from strandline.session import table
 
 
@@ -13,5 +13,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_blocks(table(spark, sf_dir, "pages"), table(spark, sf_dir, "parsed"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and extracted fields that hold garbled text."""
+    return mojibake.garbled(table(spark, sf_dir, "pages"), table(spark, sf_dir, "extracted"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled text, restored where it still can be."""
+    return mojibake.restored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "extracted"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored)}
 ORACLE: dict[str, str] = {}
