@@ -102,8 +102,10 @@ def _count(unescape: bool):
             if len(words) > 200_000:
                 yield pd.DataFrame({"pair": None, "word": list(words), "n": list(words.values())})
                 words.clear()
-        yield pd.DataFrame({"pair": pd.array(keys, "Int64"), "word": None, "n": counts})
-        yield pd.DataFrame({"pair": None, "word": list(words), "n": list(words.values())})
+        if len(keys):
+            yield pd.DataFrame({"pair": pd.array(keys, "Int64"), "word": None, "n": counts})
+        if words:
+            yield pd.DataFrame({"pair": None, "word": list(words), "n": list(words.values())})
 
     return count
 
@@ -291,9 +293,10 @@ def _restorer(spark: SparkSession, model: PairModel, unescape: bool):
         for pdf in batches:
             seen = [restore(html.unescape(t) if unescape and "&" in t else t, local, known) for t in pdf["value"]]
             hit = np.array([g for g, _ in seen], bool)
-            yield pd.DataFrame({
-                "row_key": pdf["row_key"][hit], "pos": pdf["pos"][hit],
-                "restored": [r for g, r in seen if g]}).reset_index(drop=True)
+            if hit.any():
+                yield pd.DataFrame({
+                    "row_key": pdf["row_key"].to_numpy()[hit], "pos": pdf["pos"].to_numpy()[hit],
+                    "restored": [r for g, r in seen if g]})
 
     return work
 

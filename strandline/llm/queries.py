@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import boilerplate, mojibake
+from strandline.llm import boilerplate, lookalike, mojibake
 from strandline.session import table
 
 
@@ -23,5 +23,15 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "pages"), table(spark, sf_dir, "extracted"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of values made of other characters than they look."""
+    return lookalike.deviating(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "volunteers"))
+
+
+def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviating values in one form."""
+    return lookalike.normalised(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "volunteers"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored, p4_found, p4_normalised)}
 ORACLE: dict[str, str] = {}
