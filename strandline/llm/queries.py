@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import boilerplate, lookalike, mojibake
+from strandline.llm import abuse, boilerplate, lookalike, mojibake
 from strandline.session import table
 
 
@@ -33,5 +33,15 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalised(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "volunteers"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored, p4_found, p4_normalised)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return abuse.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_samples"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such content by source and category."""
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_samples"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored, p4_found, p4_normalised, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}
