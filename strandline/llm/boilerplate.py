@@ -261,7 +261,10 @@ def _closings(kept: DataFrame) -> DataFrame:
         .where(F.col("like").isNotNull()).groupBy("site", "like").agg(F.count("*").alias("k"))
     )
     here = ends.groupBy("site").agg(F.sum("k").alias("n"))
-    anywhere = ends.groupBy("like").agg(F.sum("k").alias("k_all")).crossJoin(ends.agg(F.sum("k").alias("n_all")))
+    anywhere = (
+        ends.groupBy("like").agg(F.sum("k").alias("k_all")).withColumn("one", F.lit(1))
+        .join(ends.agg(F.sum("k").alias("n_all")).withColumn("one", F.lit(1)), "one")
+    )
     own = ends.join(here, "site").where(F.col("k") >= CLOSING * F.col("n")).select("site", "like")
     any_site = anywhere.where(F.col("k_all") >= CLOSING_ANYWHERE * F.col("n_all")).select(F.lit("").alias("site"), "like")
     return own.unionByName(any_site)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import abuse, boilerplate, lookalike, mojibake
+from strandline.llm import abuse, boilerplate, leaks, lookalike, mojibake, packing
 from strandline.session import table
 
 
@@ -33,6 +33,22 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalised(table(spark, sf_dir, "extracted"), table(spark, sf_dir, "volunteers"))
 
 
+def p8_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of its pieces, for each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    containers = table(spark, sf_dir, "containers")
+    return packing.fill(packing.pack(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation items whose passage a document holds."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with abusive, hateful or sexual content."""
     return abuse.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_samples"))
@@ -43,5 +59,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored, p4_found, p4_normalised, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_restored, p4_found, p4_normalised, p8_assigned, p8_fill, p9_found, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}
