@@ -84,7 +84,7 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
         .select(
             key, F.length(text).cast("bigint").alias("chars"), F.size("__w").cast("bigint").alias("words"), F.size("__s").cast("bigint").alias("n_sentences"),
             F.round(F.size(F.array_distinct("__w")) / n, 4).alias("diversity"),
-            F.round(0.39 * n / s + 11.8 * syl / n - 15.59, 4).alias("grade"))
+            F.round(0.39 * n / s + 11.8 * syl / n - 15.59, 8).alias("grade"))
     )
 
 

@@ -55,7 +55,7 @@ def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH z AS (SELECT doc_id, length(text) AS chars, {_TOK} AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\\s*|\\n'), lambda s: trim(s)), lambda s: length(s)>2) AS s FROM documents),
  y AS (SELECT *, list_sum(list_transform(w, lambda x: CASE WHEN length(x)<=3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(x,'(?:es|ed|e)$',''),'[aeiouy]{{1,2}}'))) END)) AS syl FROM z)
- SELECT doc_id, chars, CAST(len(w) AS BIGINT) AS words, CAST(len(s) AS BIGINT) AS n_sentences, round(len(list_distinct(w))/greatest(len(w),1),4) AS diversity, round(0.39*greatest(len(w),1)/greatest(len(s),1)+11.8*coalesce(syl,0)/greatest(len(w),1)-15.59,4) AS grade FROM y""")
+ SELECT doc_id, chars, CAST(len(w) AS BIGINT) AS words, CAST(len(s) AS BIGINT) AS n_sentences, round(len(list_distinct(w))/greatest(len(w),1),4) AS diversity, round(0.39*greatest(len(w),1)/greatest(len(s),1)+11.8*coalesce(syl,0)/greatest(len(w),1)-15.59,8) AS grade FROM y""")
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, diversity and reading grade."""
     return S.profile(docs(spark, sf_dir), "doc_id", "text")
