@@ -10,15 +10,17 @@ bounded by sources times reading sets, so the iterations never touch the data.
 A value takes its most probable reading if the posterior reaches
 ``certainty``; otherwise it is reported as ambiguous and left without instant.
 
-Everything that handles values is built-in expressions: the format test, field
-extraction by position, and ``try_make_timestamp`` with the zone as a column.
-Local times that occur twice mean the first; skipped ones are read with the
+Format tests depend on a value's shape only and are kept by shape; the calendar
+and the zones are the runtime's (``try_make_timestamp`` with the zone as a
+column). Local times that occur twice mean the first; skipped ones are read with the
 offset valid before the change.
 """
 
 from __future__ import annotations
 
+import re
 import zoneinfo
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,9 +49,10 @@ ABBREVIATIONS = {
     "AKST": [-540], "AKDT": [-480], "HST": [-600],
 }
 
+_LETTER = r"[^\W\d_]"
 _TIME = r"(?:[T ,]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)"
-_DAY = r"(?:\p{L}{2,12}\.?,?\s+)?"
-_WORD = r"\p{L}{3,12}\.?"
+_DAY = rf"(?:{_LETTER}{{2,12}}\.?,?\s+)?"
+_WORD = rf"{_LETTER}{{3,12}}\.?"
 
 
 @dataclass(frozen=True)
@@ -79,115 +82,139 @@ FORMATS = (
 )
 EPOCH = {"epoch_s": 1_000_000, "epoch_ms": 1000, "epoch_us": 1, "epoch_ns": None}
 
-_ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|(?<=:\d{2})[+-]\d{2}|(?<=\d)\s*(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|(?<=[\d ])(?:" + "|".join(
-    k for k in ABBREVIATIONS if k != "Z") + r"))$"
-
-
+_ZONE = re.compile(
+    r"\s*(Z|[+-]\d{2}:?\d{2}|(?<=:\d{2})[+-]\d{2}|(?<=\d)\s*(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|(?<=[\d ])(?:"
+    + "|".join(k for k in ABBREVIATIONS if k != "Z") + r"))$")
+_PLAIN_DAY = re.compile(r"^\d{4}-\d{1,2}-\d{1,2}$")
+_HALF = re.compile(r"\s*([ap])\.?m\.?$", re.I)
 _MONTH_NUMBERS = {name: i + 1 for names in MONTHS.values() for i, name in enumerate(names.split())} | MONTH_VARIANTS
+_MONTH = re.compile(rf"(?<!{_LETTER})(" + "|".join(sorted(_MONTH_NUMBERS, key=len, reverse=True)) + rf")(?!{_LETTER})", re.I)
+_OFFSET = re.compile(r"([+-])(\d{1,2}):?(\d{2})?$")
+_SPACE = re.compile(r"[\s\u00a0\u202f\u3000]+")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
+
+#: A reading of a value before its clock is applied.
+WRITTEN = "array<struct<format:string,us:long,y:int,m:int,d:int,h:int,i:int,s:int,f:int,zone:string,offsets:array<int>>>"
+
+
+class Reader:
+    """Readings of values under every format they fit. What depends on the
+    shape of a value only (its digits masked) is worked out once for each."""
+
+    #: Shapes remembered at a time.
+    KEPT = 50_000
+
+    def __init__(self):
+        self.compiled = [(f, re.compile(f.pattern)) for f in FORMATS]
+        self.shapes: dict[str, tuple] = {}
+        self.zones = {z for z in zoneinfo.available_timezones() if "/" in z} | {"UTC", "GMT"}
+
+    def clock(self, zone: str | None) -> str:
+        """The zone, or UTC if it is not known."""
+        return zone if zone in self.zones else "UTC"
+
+    def _shape(self, shape: str) -> tuple:
+        zone = None if _PLAIN_DAY.match(shape) else _ZONE.search(shape)
+        end = zone.start() if zone else len(shape)
+        half = _HALF.search(shape[:end])
+        end = half.start() if half else end
+        body = shape[:end]
+        month = _MONTH.search(body)
+        fits = tuple(f for f, p in self.compiled if p.match(body))
+        return end, half.group(1).lower() if half else "", _MONTH_NUMBERS[month.group(1).lower()] if month else None, zone.start(1) if zone else -1, fits
+
+    def read(self, value: str) -> list[dict]:
+        value = _SPACE.sub(" ", value).strip(" ")
+        if len(value) > 80:  # longer than any way of writing an instant
+            return []
+        shape = _DIGIT.sub("9", value)
+        if "9999" not in shape:
+            return []
+        held = self.shapes.get(shape)
+        if held is None:
+            if len(self.shapes) >= self.KEPT:
+                self.shapes.clear()
+            held = self.shapes[shape] = self._shape(shape)
+        end, half, month, zone_at, fits = held
+        if not fits:
+            return []
+        body = value[:end]
+        zone, offsets = _zone(value[zone_at:] if zone_at >= 0 else "")
+        if zone is None and offsets is None:
+            return []
+        out = []
+        for f in fits:
+            w = {"format": f.name, "us": None, "zone": zone, "offsets": offsets, **dict.fromkeys("ymdhisf")}
+            if f.name in EPOCH:
+                if half or zone_at >= 0:
+                    continue
+                w["us"] = int(body) // 1000 if EPOCH[f.name] is None else int(body) * EPOCH[f.name]
+            else:
+                parts = (body[:4], body[4:6], body[6:8], body[9:11], body[11:13], body[13:15]) if f.name == "basic" else _DIGITS.findall(body)
+                for name, digits in zip("ymdhis" if f.name == "basic" else f.order, parts, strict=False):
+                    if digits:
+                        w[name] = int(digits[:6].ljust(6, "0")) if name == "f" else int(digits[:4])
+                if "m" not in f.order and f.name != "basic":
+                    w["m"] = month
+                hour = w["h"] or 0
+                if half:
+                    if w["h"] is None or not 1 <= hour <= 12:
+                        continue
+                    hour = hour % 12 + 12 * (half == "p")
+                if w["m"] is None or hour > 23 or (w["s"] or 0) > 59:
+                    continue
+                w["h"] = hour
+            out.append(w)
+        return out
+
+
+def _zone(text: str) -> tuple[str | None, list[int] | None]:
+    """A fixed offset, or the offsets an abbreviation may stand for; the empty
+    text leaves the clock of the source, an impossible offset nothing."""
+    if not text:
+        return "", None
+    m = _OFFSET.search(text)
+    if m:
+        hours, minutes = int(m[2]), int(m[3] or 0)
+        return (f"{m[1]}{hours:02d}:{minutes:02d}", None) if hours < 18 and minutes < 60 else (None, None)
+    return "UTC", ABBREVIATIONS[text.strip().upper()]
+
+
+def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = Reader()
+    for pdf in batches:
+        if len(pdf):
+            clocks = [reader.clock(z) for z in pdf["clock"]]
+            yield pdf.assign(clock=clocks, written=[reader.read(v) if isinstance(v, str) else [] for v in pdf["value"]])
 
 
-def _fields(df: DataFrame) -> DataFrame:
-    """Split ``__v`` into zone, am/pm mark, month number and numbers."""
-    split = (
-        df.withColumn("__z", F.when(F.col("__v").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), "").otherwise(F.regexp_extract("__v", _ZONE, 1)))
-        .withColumn("__b", F.when(F.col("__z") == "", F.col("__v")).otherwise(F.regexp_replace("__v", _ZONE, "")))
-        .withColumn("__ap", F.lower(F.regexp_extract("__b", r"(?i)\s*([ap])\.?m\.?$", 1)))
-        .withColumn("__b", F.when(F.col("__ap") == "", F.col("__b")).otherwise(F.regexp_replace("__b", r"(?i)\s*[ap]\.?m\.?$", "")))
-    )
-    z = F.col("__z")
-    sign = F.regexp_extract(z, r"([+-])\d{1,2}:?(?:\d{2})?$", 1)
-    hours = F.regexp_extract(z, r"[+-](\d{1,2}):?(?:\d{2})?$", 1)
-    minutes = F.regexp_extract(z, r"[+-]\d{1,2}:?(\d{2})$", 1)
-    offset = F.concat(sign, F.lpad(hours, 2, "0"), F.lit(":"), F.rpad(minutes, 2, "0"))
-    table = F.create_map(*(x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    month = F.regexp_extract("__b", r"(?i)(?<!\p{L})(" + "|".join(sorted(_MONTH_NUMBERS, key=len, reverse=True)) + r")(?!\p{L})", 1)
-    numbers = F.create_map(*(F.lit(x) for pair in sorted(_MONTH_NUMBERS.items()) for x in pair))
-    return (
-        split.withColumn("__zone", F.when(z == "", F.col("__clock")).when(
-            (sign != "") & (hours.try_cast("int") < 18) & (F.coalesce(minutes.try_cast("int"), F.lit(0)) < 60), offset))
-        .withColumn("__offsets", F.when((z != "") & (sign == ""), F.element_at(table, F.upper(z))))
-        .withColumn("__n", F.regexp_extract_all("__b", F.lit(r"\d+"), F.lit(0)))
-        .withColumn("__m", F.when(F.col("__b").rlike(r"\p{L}{3}"), F.element_at(numbers, F.lower(month))))
-    )
-
+def _instant(w: Column, zone: Column) -> Column:
+    """Microseconds since 1970 UTC of written fields on the clock of ``zone``;
+    null if there is no such date or time."""
+    fine = (F.coalesce(w["s"], F.lit(0)) + F.coalesce(w["f"], F.lit(0)) / F.lit(1_000_000)).cast("decimal(16,6)")
+    made = F.try_make_timestamp(w["y"], w["m"], w["d"], F.coalesce(w["h"], F.lit(0)), F.coalesce(w["i"], F.lit(0)), fine, zone)
+    return F.when(w["y"] >= 1, F.unix_micros(made))
 
-def _number(order: str, part: str) -> Column:
-    at = order.find(part)
-    return F.lit(None).cast("int") if at < 0 else F.get("__n", F.lit(at)).try_cast("int")
 
+def readings(values: DataFrame) -> DataFrame:
+    """Add ``readings``, every valid (format, instant), to a table with
+    ``value`` and ``clock``. A zone that is not known counts as UTC.
 
-def _written(fmt: Format) -> Column:
-    """The fields of a value under one format, as written."""
-    if fmt.name in EPOCH:
-        parts = {k: F.lit(None).cast("int") for k in "ymdhis"}
-        micros = F.lit(None).cast("int")
-    elif fmt.name == "basic":
-        spans = {"y": (1, 4), "m": (5, 2), "d": (7, 2), "h": (10, 2), "i": (12, 2), "s": (14, 2)}
-        parts = {k: F.substring("__b", a, n).try_cast("int") for k, (a, n) in spans.items()}
-        micros = F.lit(None).cast("int")
-    else:
-        parts = {k: _number(fmt.order, k) for k in "ymdhis"}
-        if "m" not in fmt.order:
-            parts["m"] = F.col("__m")
-        at = fmt.order.find("f")
-        digits = F.get("__n", F.lit(at)) if at >= 0 else F.lit(None).cast("string")
-        micros = F.rpad(F.substring(digits, 1, 6), 6, "0").try_cast("int")
-    return F.struct(F.lit(fmt.name).alias("format"), *(v.alias(k) for k, v in parts.items()), micros.alias("f"))
+    Fields are told apart in Arrow batches; dates, clocks and their changes are
+    the runtime's, in one expression over the readings.
+    """
+    kept = ", ".join(f"`{c}` {t}" for c, t in values.dtypes)
+    read = values.mapInPandas(_read_all, f"{kept}, written {WRITTEN}")
 
+    def instant(w: Column) -> Column:
+        own = _instant(w, F.when(w["zone"] == "", F.col("clock")).otherwise(w["zone"]))
+        # An abbreviation may name several offsets: the one nearest to the clock is meant.
+        nearest = F.array_min(F.transform(w["offsets"], lambda m: F.struct(
+            F.abs(own - m.cast("long") * 60_000_000 - _instant(w, F.col("clock"))).alias("far"), (own - m.cast("long") * 60_000_000).alias("us"))))["us"]
+        return F.coalesce(w["us"], F.when(w["offsets"].isNull(), own).otherwise(nearest))
 
-def _instant(w: Column, zone: Column) -> Column:
-    """Microseconds since 1970 UTC of written fields on the clock of ``zone``;
-    null if there is no such date or time."""
-    hour = F.when(F.col("__ap") == "", w["h"]).when(
-        w["h"].between(1, 12), w["h"] % 12 + F.when(F.col("__ap") == "p", 12).otherwise(0)).otherwise(F.lit(99))
-    hour = F.coalesce(hour, F.lit(0))
-    second = F.coalesce(w["s"], F.lit(0))
-    fine = (second + F.coalesce(w["f"], F.lit(0)) / F.lit(1_000_000)).cast("decimal(16,6)")
-    real = (hour < 24) & (second < 60) & w["y"].between(1, 9999)
-    return F.when(real, F.unix_micros(F.try_make_timestamp(
-        w["y"], w["m"], w["d"], hour, F.coalesce(w["i"], F.lit(0)), fine, zone)))
-
-
-def _epoch(w: Column) -> Column:
-    n = F.col("__b").try_cast("long")
-    out = F.lit(None).cast("long")
-    for name, scale in EPOCH.items():
-        us = F.floor(n / 1000).cast("long") if scale is None else n * scale
-        out = F.when(w["format"] == name, us).otherwise(out)
-    return out
-
-
-def _abbreviated(w: Column) -> Column:
-    """An abbreviation may name several offsets: the one nearest to the clock
-    of the source is meant."""
-    utc = _instant(w, F.lit("UTC"))
-    return F.array_min(F.transform(F.col("__offsets"), lambda m: F.struct(
-        F.abs(utc - m.cast("long") * 60_000_000 - _instant(w, F.col("__clock"))).alias("far"),
-        (utc - m.cast("long") * 60_000_000).alias("us"))))["us"]
-
-
-def readings(df: DataFrame, value_col: str, clock: Column) -> DataFrame:
-    """Add ``readings``: every valid (format, instant) of the value. A zone the
-    runtime does not know counts as UTC."""
-    clean = F.trim(F.regexp_replace(F.col(value_col), r"[\s\x{a0}\x{202f}\x{3000}]+", " "))
-    named = df.withColumn("__v", clean).withColumn("__clock", F.coalesce(clock, F.lit("UTC")))
-    regions = ",".join(f"'{z}'" for z in sorted(z for z in zoneinfo.available_timezones() if "/" in z or z in ("UTC", "GMT")))
-    fielded = _fields(named.withColumn("__clock", F.expr(f"CASE WHEN __clock IN ({regions}) THEN __clock ELSE 'UTC' END")))
-    written = F.filter(
-        F.array(*(F.when(F.col("__b").rlike(f.pattern), _written(f)) for f in FORMATS)), lambda w: w.isNotNull())
-    plain = (F.col("__z") == "") & (F.col("__ap") == "")
-    held = F.transform("__w", lambda w: F.struct(w["format"].alias("format"), (
-        F.when(w["format"].startswith("epoch_"), F.when(plain, _epoch(w)))
-        .when(F.col("__offsets").isNotNull(), _abbreviated(w))
-        .otherwise(_instant(w, F.col("__zone")))).alias("epoch_us")))
-    # Only text with four digits in a row can name a date; the rest skips the work.
-    return (
-        fielded.withColumn("__w", F.when(F.col("__v").rlike(r"\d{4}"), written))
-        .withColumn("readings", F.coalesce(
-            F.filter(held, lambda r: r["epoch_us"].isNotNull()),
-            F.array().cast("array<struct<format:string,epoch_us:bigint>>")))
-        .drop("__v", "__clock", "__z", "__b", "__ap", "__n", "__m", "__w", "__zone", "__offsets")
-    )
+    held = F.transform("written", lambda w: F.struct(w["format"].alias("format"), instant(w).alias("epoch_us")))
+    return read.withColumn("readings", F.filter(held, lambda r: r["epoch_us"].isNotNull())).drop("written")
 
 
 def _shares(counts: pd.DataFrame, rounds: int, strength: float) -> dict[str, float]:
@@ -230,20 +257,21 @@ def format_shares(read: DataFrame, source: str = "source", rounds: int = 30, str
 
 def normalise(
     df: DataFrame, id_col: str, value_col: str, source: Column, clock: Column,
-    declared: Column | None = None, certainty: float = 0.9,
+    declared: Column | None = None, certainty: float = 0.9, keep: Sequence[str] = (),
 ) -> DataFrame:
     """The instant of each value: ``row_key, source, value, format, epoch_us, posterior, status``.
 
     ``status`` is ``resolved``, ``ambiguous`` (no reading reaches
     ``certainty``) or ``unreadable`` (relative, impossible, blank or null).
-    One row per row of ``df`` with a key; extra columns are ignored.
+    One row per row of ``df`` with a key; of its other columns those named by
+    ``keep`` stay.
     """
     base = df.select(
-        F.col(id_col).cast("long").alias("row_key"), F.coalesce(source, F.lit("")).alias("source"),
+        *keep, F.col(id_col).cast("long").alias("row_key"), F.coalesce(source, F.lit("")).alias("source"),
         F.coalesce(clock, F.lit("UTC")).alias("clock"), (F.lit(None).cast("string") if declared is None else declared).alias("declared"),
         F.col(value_col).cast("string").alias("value"),
     ).where(F.col("row_key").isNotNull())
-    read = readings(base, "value", F.col("clock"))
+    read = readings(base)
     weighed = read.join(format_shares(read), "source", "left").withColumn(
         "scored", F.array_sort(F.transform("readings", lambda r: F.struct(
             (-F.coalesce(F.element_at("shares", r["format"]), F.lit(0.0))).alias("w"), r["format"].alias("format"), r["epoch_us"].alias("epoch_us")))))
@@ -254,27 +282,31 @@ def normalise(
     posterior = F.when(F.size("readings") > 0, backing / F.greatest(total, F.lit(1e-300)))
     sure = posterior >= certainty
     return weighed.select(
-        "row_key", "source", "value", F.when(sure, best["format"]).alias("format"),
+        *keep, "row_key", "source", "value", F.when(sure, best["format"]).alias("format"),
         F.when(sure, best["epoch_us"]).alias("epoch_us"), posterior.alias("posterior"),
         F.when(posterior.isNull(), "unreadable").when(sure, "resolved").otherwise("ambiguous").alias("status"),
     )
 
 
-def instants(normalised: DataFrame, origin: str) -> DataFrame:
-    """The resolved instants, each row once: ``origin, row_key, epoch_us``."""
-    return (
-        normalised.where(F.col("status") == "resolved")
-        .select(F.lit(origin).alias("origin"), "row_key", "epoch_us").distinct()
-    )
+def page_values(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """``published_time`` of pages, on the clock and date order of their site:
+    ``origin, id, value, source, clock, declared``."""
+    known = sites.groupBy("site").agg(F.max("tz_name").alias("tz_name"), F.max("date_order").alias("date_order"))
+    return pages.select("page_id", "site", "published_time").join(known, "site", "left").select(
+        F.lit("pages.published_time").alias("origin"), F.col("page_id").cast("long").alias("id"), F.col("published_time").alias("value"),
+        F.concat(F.lit("pages.published_time "), F.coalesce("site", F.lit(""))).alias("source"), F.col("tz_name").alias("clock"), F.col("date_order").alias("declared"))
 
 
-def page_times(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """``published_time`` of pages, on the clock and date order of their site."""
-    known = sites.groupBy("site").agg(F.max("tz_name").alias("tz_name"), F.max("date_order").alias("date_order"))
-    joined = pages.select("page_id", "site", "published_time").join(known, "site", "left")
-    return normalise(joined, "page_id", "published_time", F.col("site"), F.col("tz_name"), F.col("date_order"))
+def task_values(tasks: DataFrame, columns: Sequence[str] = ("last_run", "created_at")) -> DataFrame:
+    """Time columns of tasks, on the clock of the host that wrote the row; the
+    same columns as ``page_values``."""
+    each = F.array(*(F.struct(F.lit(f"tasks.{c}").alias("origin"), F.col(c).alias("value")) for c in columns))
+    return tasks.select(F.col("task_id").cast("long").alias("id"), "tz_name", F.explode(each).alias("x")).select(
+        "x.origin", "id", "x.value", F.concat(F.col("x.origin"), F.lit(" "), F.coalesce("tz_name", F.lit(""))).alias("source"),
+        F.col("tz_name").alias("clock"), F.lit(None).cast("string").alias("declared"))
 
 
-def task_times(tasks: DataFrame, column: str) -> DataFrame:
-    """A time column of tasks, on the clock of the host that wrote the row."""
-    return normalise(tasks, "task_id", column, F.col("tz_name"), F.col("tz_name"))
+def instants(values: DataFrame) -> DataFrame:
+    """The resolved instants of such values, each row once: ``origin, row_key, epoch_us``."""
+    out = normalise(values, "id", "value", F.col("source"), F.col("clock"), F.col("declared"), keep=["origin"])
+    return out.where(F.col("status") == "resolved").select("origin", "row_key", "epoch_us").distinct()

@@ -26,12 +26,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instant in UTC of every time of pages and tasks."""
-    tasks = table(spark, sf_dir, "tasks")
-    pages = timestamps.page_times(table(spark, sf_dir, "pages"), table(spark, sf_dir, "sites"))
-    out = timestamps.instants(pages, "pages.published_time")
-    for column in ("last_run", "created_at"):
-        out = out.unionByName(timestamps.instants(timestamps.task_times(tasks, column), f"tasks.{column}"))
-    return out
+    pages = timestamps.page_values(table(spark, sf_dir, "pages"), table(spark, sf_dir, "sites"))
+    return timestamps.instants(pages.unionByName(timestamps.task_values(table(spark, sf_dir, "tasks"))))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
