@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from strandline.session import settle
 
 #: Leaves where two blocks agree more often than this are boilerplate.
-AGREEMENT = 1 / 150
+AGREEMENT = 1 / 50
 #: Leaves with at least this share of pure links are boilerplate.
 LINKED = 0.2
 #: Leaves with fewer blocks are judged by their phrases.
