@@ -124,3 +124,72 @@ def mean_breaks(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     )
     between = F.pow(F.col("s") / F.col("n") - (F.col("ss") - F.col("s")) / (F.col("nn") - F.col("n")), 2) * F.col("n") * (F.col("nn") - F.col("n")) / F.col("nn")
     return d.withColumn("gain", F.round(between / F.col("tot"), 6)).groupBy(*by).agg(F.max_by(F.struct(F.col("n").alias("at"), "gain"), F.struct("gain", -F.col("n"))).alias("b")).select(*by, F.col("b.at").cast("bigint").alias("at"), "b.gain")
+
+
+def grubbs(df: DataFrame, by: Sequence[str], key: str, value: str, alpha: float = 0.05, most: int = 10) -> DataFrame:
+    """Outliers by Grubbs' test, one at a time: ``by, key, value, round``.
+
+    Only the ``most`` values farthest from the centre at either end can fall,
+    so a group reaches its test as its moments and these; everything else stays
+    in the cluster."""
+    w = Window.partitionBy(*by)
+    ranked = df.where(F.col(value).isNotNull()).withColumn("lo", F.row_number().over(w.orderBy(F.asc(value), key))).withColumn("hi", F.row_number().over(w.orderBy(F.desc(value), key)))
+    ends = ranked.where((F.col("lo") <= most) | (F.col("hi") <= most)).groupBy(*by).agg(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(key).cast("long").alias("k"))).alias("ends"))
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("var"))
+
+    def test(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                n, s, q = r["n"], r["n"] * r["m"], r["n"] * (r["var"] + r["m"] ** 2)
+                left = sorted((e["v"], e["k"]) for e in r["ends"])
+                for turn in range(1, most + 1):
+                    if n < 3 or not left:
+                        break
+                    m = s / n
+                    sd = np.sqrt(max(q - n * m * m, 0) / (n - 1))
+                    v, k = max(left, key=lambda e: (abs(e[0] - m), -e[1]))
+                    t = _student(alpha / (2 * n), n - 2)
+                    if sd == 0 or abs(v - m) / sd <= (n - 1) / np.sqrt(n) * np.sqrt(t * t / (n - 2 + t * t)):
+                        break
+                    rows.append((*(r[b] for b in by), k, v, turn))
+                    left.remove((v, k))
+                    n, s, q = n - 1, s - v, q - v * v
+            if rows:
+                yield pd.DataFrame(rows, columns=[*by, key, value, "round"])
+
+    types = dict(df.dtypes)
+    return sums.join(ends, list(by)).mapInPandas(test, ", ".join(f"`{b}` {types[b]}" for b in by) + f", `{key}` long, `{value}` double, round int")
+
+
+def _student(p: float, free: float) -> float:
+    """Upper quantile of Student's distribution, by bisection of its tail."""
+    from math import lgamma
+
+    c = np.exp(lgamma((free + 1) / 2) - lgamma(free / 2)) / np.sqrt(free * np.pi)
+    # Substituting x = tan(u) makes the tail a finite integral.
+    def tail(x: float) -> float:
+        u = np.linspace(np.arctan(x / np.sqrt(free)), np.pi / 2, 2001)
+        f = np.cos(u) ** (free - 1)
+        h = (u[1] - u[0]) / 3
+        return float(c * np.sqrt(free) * h * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()))
+
+    lo, hi = 0.0, 1e3
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if tail(mid) > p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def sequence_profile(df: DataFrame, by: Sequence[str], order: Sequence[str], item: str) -> DataFrame:
+    """Shape of each sequence: length, share of distinct items, entropy of
+    items and of steps in bits, share of repeats."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    s = df.where(F.col(item).isNotNull()).withColumn("before", F.lag(item).over(w))
+    bits = lambda c, name: c.groupBy(*by).agg((F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")).alias(name))
+    items = s.groupBy(*by, item).agg(F.count("*").alias("k"))
+    steps = s.where("before IS NOT NULL").groupBy(*by, "before", item).agg(F.count("*").alias("k"))
+    base = s.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("before") == F.col(item)).cast("double")).alias("rep"))
+    distinct = items.groupBy(*by).agg(F.count("*").alias("d"))
+    j = base.join(distinct, list(by)).join(bits(items, "h"), list(by)).join(bits(steps, "ht"), list(by), "left")
+    return j.select(*by, "n", F.round(F.col("d") / F.col("n"), 6).alias("unique_ratio"), F.round("h", 6).alias("entropy"), F.round(F.coalesce("ht", F.lit(0.0)), 6).alias("step_entropy"), F.round(F.coalesce("rep", F.lit(0.0)), 6).alias("repeat_rate"))

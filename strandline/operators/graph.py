@@ -167,3 +167,36 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, limit: int = 1000) ->
         left = settle(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
     return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
+
+
+def closeness(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
+    """``id, closeness``: reached nodes over the sum of distances, both ways
+    along edges; 0 for isolated nodes. The state has a row for each connected
+    pair, so it is for graphs of a bounded number of nodes."""
+    e = settle(both_ways(edges))
+    seen = settle(nodes.select(F.col("id").alias("root"), "id").withColumn("d", F.lit(0)))
+    front = seen
+    for d in range(1, limit + 1):
+        new = e.join(front.select("root", F.col("id").alias("src")), "src").select("root", F.col("dst").alias("id")).distinct()
+        front = settle(new.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("d", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.groupBy(F.col("root").alias("id")).agg(F.round(F.coalesce(F.try_divide(F.count("*") - 1, F.sum("d")), F.lit(0.0)), 6).alias("closeness"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """``id, community`` by label propagation: each node takes the label most
+    frequent among its neighbours and itself, the smallest on ties."""
+    e = settle(both_ways(edges))
+    labels = settle(nodes.select("id", F.col("id").alias("community")))
+    for i in range(rounds):
+        seen = e.join(labels.select(F.col("id").alias("src"), "community"), "src").select(F.col("dst").alias("id"), "community").unionByName(labels)
+        votes = seen.groupBy("id", "community").agg(F.count("*").alias("k"))
+        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("k"), "community")).alias("b"))
+        new = settle(best.select("id", F.col("b.community").alias("community")))
+        same = new.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old").isEmpty()
+        labels = new
+        if same:
+            break
+    return labels

@@ -254,3 +254,27 @@ def autoregression(df: DataFrame, order: int = 3, steps: int = 5) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "step", "forecast"])
 
     return sums.mapInPandas(solve, "name string, step int, forecast double")
+
+
+def band_pass(df: DataFrame, low: int = 6, high: int = 32, reach: int = 12) -> DataFrame:
+    """Symmetric filter that keeps cycles of ``low`` to ``high`` points:
+    ``name, t, cycle``, where all neighbours are held. A weighted sum over a
+    frame, the same on any stretch."""
+    a, b = 2 * np.pi / high, 2 * np.pi / low
+    k = np.arange(1, reach + 1)
+    half = (np.sin(b * k) - np.sin(a * k)) / (np.pi * k)
+    weights = np.concatenate((half[::-1], [(b - a) / np.pi], half))
+    weights -= weights.mean()
+    near = lambda i: (lambda w: F.max("value").over(w.rangeBetween(-i, -i)))
+    d = framed(df, 2 * reach, {f"v{i}": near(i) for i in range(2 * reach + 1)})
+    total = sum((F.col(f"v{i}") * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+    return d.select("name", (F.col("t") - reach).alias("t"), F.round(total, 6).alias("cycle")).where("cycle IS NOT NULL")
+
+
+def unit_root(df: DataFrame) -> DataFrame:
+    """Dickey-Fuller statistic of each name without lags: ``name, n, slope,
+    stat``; the regression of changes on levels comes from sums alone."""
+    d = previous(df, "value").where("before IS NOT NULL").select("name", (F.col("value") - F.col("before")).alias("y"), F.col("before").alias("x"))
+    a = d.groupBy("name").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
+    err = F.sqrt((F.col("syy") - F.col("b") * F.col("b") * F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
+    return a.where("n > 2 AND sxx > 0").select("name", "n", F.round("b", 8).alias("slope"), F.round(F.try_divide(F.col("b"), err), 4).alias("stat"))
