@@ -21,11 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     A folder of our own is made only where the session names none (tests and
     single-machine runs).
     """
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
-    current = jsc.getCheckpointDir()
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     made = tempfile.mkdtemp(prefix="strandline-")
@@ -33,10 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage
-    ends there: a lost executor re-reads files instead of recomputing."""
+    ends there: a lost executor re-reads files instead of recomputing. The
+    tables stay until ``discard``, as results may still read them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandline/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this application settled, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

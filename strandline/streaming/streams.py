@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandline.session import shared_dir
+from strandline.session import own_dir
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -28,7 +28,7 @@ def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataF
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its input and give what it wrote."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/strandline/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
