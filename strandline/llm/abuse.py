@@ -360,7 +360,7 @@ def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[st
     for frame, fillers in zip(seen["frame"], seen["fillers"], strict=True):
         if frame not in known.frames and len(fillers) < FILLERS and len(harmless) < LEARNED:
             harmless += [frame.replace(SLOT, f) for f in fillers]
-    picked = forms.orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND // 4).select(F.explode("forms").alias("f")).toPandas()["f"].tolist()
+    picked = forms.orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND // 4).select(F.explode("forms").alias("f")).where("length(f) <= 2000").limit(4 * BACKGROUND).toPandas()["f"].tolist()
     flagged = set(learned) | {o for o, c in zip(own, samples["category"], strict=True) if c in CATEGORIES}
     edges = known.by_edge()
     ordinary = [f for f in dict.fromkeys(picked) if bare(f) not in flagged and not any(True for _ in _slots(bare(f), edges))][:BACKGROUND]

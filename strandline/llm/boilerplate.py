@@ -166,6 +166,8 @@ def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = []
             for path, text, linked in page_blocks(document):
                 if path not in paths:
+                    if len(paths) > 100_000:
+                        paths.clear()
                     paths[path] = _key(path)
                 digest = _digest(text)
                 raw = int.from_bytes(digest[:8], "big", signed=True)

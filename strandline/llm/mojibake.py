@@ -274,11 +274,14 @@ def restore(text: str, model: PairModel, seen: dict[str, str | None] | None = No
     garbled, out = LOST in text, []
     for piece in _PIECE.findall(text):
         if not piece.isascii():
-            if piece not in seen:
-                if len(seen) > 50_000:
-                    seen.clear()
-                seen[piece] = restore_piece(piece, model)
-            meant = seen[piece]
+            if piece in seen:
+                meant = seen[piece]
+            else:
+                meant = restore_piece(piece, model)
+                if len(piece) <= 300:  # what comes again is short
+                    if len(seen) > 50_000:
+                        seen.clear()
+                    seen[piece] = meant
             if meant is not None:
                 garbled, piece = True, meant
         out.append(piece)
