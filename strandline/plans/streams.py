@@ -81,9 +81,9 @@ def finance_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", rnd("call", 6).alias("call"), rnd(N.put(s, k, t, r, v), 6).alias("put"), rnd(N.greeks(s, k, t, r, v)["delta"], 6).alias("delta"), rnd(N.implied_volatility(F.col("call"), s, k, t, r), 5).alias("implied"))
 
 
-@query("SELECT p_partkey, round(greatest(0.0,(2.0*p_size/100-(1-p_size/100))/2.0),6) AS kelly, round(0.03+1.5*(p_size/1000-0.02)+0.5*(p_retailprice/1000-1),6) AS rate, round(CASE WHEN p_retailprice-1000>=0 THEN pow(p_retailprice-1000,0.88) ELSE -2.25*pow(1000-p_retailprice,0.88) END,4)+0.0 AS felt FROM part")
+@query("SELECT p_partkey, round(greatest(0.0,(2.0*p_size/100-(1-p_size/100))/2.0),6) AS kelly, round(0.03+1.5*(p_size/1000-0.02)+0.5*(p_retailprice/1000-1),6)+0.0 AS rate, round(CASE WHEN p_retailprice-1000>=0 THEN pow(p_retailprice-1000,0.88) ELSE -2.25*pow(1000-p_retailprice,0.88) END,4)+0.0 AS felt FROM part")
 def finance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kelly fraction, policy rate and felt value of numbers of each part."""
     size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", rnd(N.kelly(size / 100, F.lit(2.0)), 6).alias("kelly"), rnd(N.taylor_rate(size / 1000, price / 1000 - 1), 6).alias("rate"), (rnd(N.prospect_value(price - 1000), 4) + 0.0).alias("felt"))
+        "p_partkey", rnd(N.kelly(size / 100, F.lit(2.0)), 6).alias("kelly"), (rnd(N.taylor_rate(size / 1000, price / 1000 - 1), 6) + 0.0).alias("rate"), (rnd(N.prospect_value(price - 1000), 4) + 0.0).alias("felt"))
