@@ -283,7 +283,7 @@ def main_blocks(pages: DataFrame, parsed: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("site", F.lit("")).alias("site"), "html")
     read = settle(html_pages.mapInPandas(_read_pages, f"page_id long, site string, blocks {_BLOCK}"))
     # Rows of one page share its weight, so that repeats do not count as agreement.
-    repeats = html_pages.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeats = read.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1")
     blocks = (
         read.join(repeats, "page_id", "left")
         .select("page_id", "site", (1.0 / F.coalesce("rows", F.lit(1))).alias("weight"), F.posexplode("blocks").alias("pos", "b"))
@@ -295,7 +295,7 @@ def main_blocks(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     from_html = kept.select("page_id", "md5")
 
     ids = parsed.where(F.col("page_id").isNotNull() & F.col("raw_data").isNotNull()).select(F.col("page_id").cast("long").alias("page_id")).distinct()
-    missing = settle(ids.join(html_pages.select("page_id"), "page_id", "left_anti"))
+    missing = settle(ids.join(read.select("page_id"), "page_id", "left_anti"))
     titles = (
         pages.select(F.col("page_id").cast("long").alias("page_id"), "title").join(missing, "page_id", "left_semi")
         .groupBy("page_id").agg(F.max("title").alias("title"))
