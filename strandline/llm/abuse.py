@@ -315,7 +315,7 @@ def _widen(forms: DataFrame, known: Wordings) -> tuple[Wordings, pd.DataFrame]:
     by_frame = (
         pairs.where("known_filler").groupBy("frame").agg(F.collect_set("filler").alias("fillers"), F.sum("n").alias("n"))
         .where((F.size("fillers") >= FILLERS) | (F.col("n") >= HARMLESS))
-        .orderBy(F.col("n").desc(), "frame").limit(4 * LEARNED).toPandas()
+        .orderBy(F.size("fillers").desc(), F.col("n").desc(), "frame").limit(4 * LEARNED).toPandas()
     )
     by_filler = (
         pairs.where("NOT known_filler").groupBy("filler").agg(F.collect_set("frame").alias("frames"), F.sum("n").alias("n"))
