@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import settle
+
 
 def search_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows with the text in any column, whatever its case."""
@@ -117,8 +119,17 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.join(total, list(by)).withColumn("share", F.try_divide(F.col(value), F.col("__total"))).drop("__total")
 
 
-def cumulative_share(df: DataFrame, order: Sequence[Column], value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Running share of the total, largest first (for ABC classes)."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order)
-    total = F.sum(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    return df.withColumn("cum_share", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total)
+def cumulative_share(df: DataFrame, value: str, ties: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Running share of the total, largest value first (for ABC classes).
+
+    The order is global, so the rows are range-partitioned by value, the part
+    of each row is written down, and only the parts' totals are summed in one
+    task, a row each.
+    """
+    b = settle(df.repartitionByRange(buckets, F.desc(value)).withColumn("__b", F.spark_partition_id()))
+    totals = b.groupBy("__b").agg(F.sum(value).alias("__x"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__x").over(ahead), F.lit(0.0))).withColumn("__all", F.sum("__x").over(Window.partitionBy(F.lit(0)))).drop("__x")
+    own = Window.partitionBy("__b").orderBy(F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.withColumn("__own", F.sum(value).over(own)).join(totals, "__b")
+    return out.withColumn("cum_share", (F.col("__before") + F.col("__own")) / F.col("__all")).drop("__b", "__own", "__before", "__all")

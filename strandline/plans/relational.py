@@ -188,7 +188,7 @@ def rel_cumulative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running share of brands, largest first."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     t = l.join(p, l.l_partkey == p.p_partkey).groupBy("p_brand").agg(rnd(F.sum("l_extendedprice"), 2).alias("revenue"))
-    return R.cumulative_share(t, [F.desc("revenue"), F.asc("p_brand")], "revenue").withColumn("cum_share", rnd("cum_share", 6))
+    return R.cumulative_share(t, "revenue", ["p_brand"]).withColumn("cum_share", rnd("cum_share", 6))
 
 
 @query("""WITH d AS (SELECT *, sum(l_quantity) OVER w AS d_hi, sum(l_quantity) OVER w - l_quantity AS d_lo FROM lineitem WHERE l_returnflag='R' WINDOW w AS (PARTITION BY l_partkey ORDER BY l_shipdate,l_orderkey,l_linenumber ROWS UNBOUNDED PRECEDING)),

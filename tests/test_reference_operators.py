@@ -41,6 +41,18 @@ def test_fifo_allocation_keeps_amounts(spark):
     assert got == {(1, 1): 3.0, (1, 2): 2.0, (2, 2): 4.0}
 
 
+def test_running_share_over_buckets(spark):
+    rng = random.Random(9)
+    rows = [(i, float(rng.randint(0, 300))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    got = {r.i: r.cum_share for r in relational.cumulative_share(df, "v", ["i"]).collect()}
+    total, run = sum(v for _, v in rows), 0.0
+    for i, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        run += v
+        assert got[i] == pytest.approx(run / total)
+    assert relational.cumulative_share(df.limit(0), "v", ["i"]).count() == 0
+
+
 def test_search_and_internal_columns(spark):
     df = spark.createDataFrame([(1, "Alpha", None), (2, "beta", "x")], "id int, name string, _hidden string")
     assert [r.id for r in relational.search_rows(df, "ALP").collect()] == [1]
