@@ -13,10 +13,13 @@ that takes two known fillers is new, a filler seen in two known frames is new,
 and so on for ``ROUNDS`` rounds. Sentences with a known filler in no frame, that
 come again and again with this one filler, are learned as harmless.
 
-Bounds, all parameters: the model is fitted on the samples, on up to
-``LEARNED`` bootstrapped sentences of each kind and on ``BACKGROUND`` sentences
-of the documents, chosen by hash, that stand for ordinary text. The search for
-frames and fillers and the scoring cover every sentence of every document.
+Ordinary text is every sentence of every document that is in no known frame:
+its features are counted in one distributed aggregation, whose result has at
+most ``BUCKETS`` rows, and a second one finds how high ordinary sentences reach.
+
+Bounds, all parameters: the rows the model is fitted on are the samples and up
+to ``LEARNED`` bootstrapped sentences of each kind. The search for frames and
+fillers, the counts and the scoring cover every sentence of every document.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,6 @@ from strandline.session import settle
 CATEGORIES = ("abusive", "hateful", "sexual")
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4, 5)
-BACKGROUND = 6_000
 LEARNED = 3_000
 ROUNDS = 3
 #: Distinct fillers that make a frame, and frames that make a filler.
@@ -49,6 +51,8 @@ OFTEN = 3
 HARMLESS = 4
 #: Probability at which a sentence counts.
 CUT = 0.5
+#: Share of ordinary sentences below the foot of the logistic curve, and how finely it is found.
+ORDINARY, GRAIN = 0.999, 100
 #: Share of plain naive Bayes in the weights; the rest is fitted.
 BAYES = 0.3
 
@@ -134,6 +138,17 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(whose)
 
 
+def distinct_features(texts: list[str], mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature of each text once, where ``mask`` has it, and the index of
+    the text."""
+    key, whose = features(texts)
+    if mask is not None:
+        keep = mask[key]
+        key, whose = key[keep], whose[keep]
+    pair = np.unique(whose.astype(np.int64) * BUCKETS + key)
+    return pair % BUCKETS, pair // BUCKETS
+
+
 class Model:
     """Weights of the hashed features, one row for each category."""
 
@@ -150,32 +165,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, weight: np.ndarray, steps: int = 60, decay: float = 1e-3, alpha: float = 1.0) -> Model:
+    def fit(
+        cls, texts: list[str], labels: np.ndarray, weight: np.ndarray, count: np.ndarray, n: int, mass: float,
+        reach: Callable[[np.ndarray], np.ndarray], steps: int = 60, decay: float = 1e-3, alpha: float = 1.0,
+    ) -> Model:
         """``labels`` has a row for each category, ``weight`` says how much
-        each text counts. Features of no labelled text have no weight; a
-        feature without evidence has the ratio zero. Logistic regression by
-        gradient descent with momentum on the scaled features, blended with
-        plain naive Bayes."""
-        key, whose = features(texts)
+        each text counts. ``count`` says in how many of ``n`` ordinary
+        sentences each feature is; together these weigh ``mass``. ``reach``
+        gives for ratios of the features, a row for each category, the value
+        that few ordinary sentences exceed. Features of no labelled text have
+        no weight; a feature without evidence has the ratio zero. Logistic
+        regression by gradient descent with momentum on the scaled features,
+        blended with plain naive Bayes."""
         # A feature counts once for each text.
-        pair = np.unique(whose.astype(np.int64) * BUCKETS + key)
-        whose, key = pair // BUCKETS, pair % BUCKETS
+        key, whose = distinct_features(texts)
         size = np.sqrt(np.maximum(np.bincount(whose, minlength=len(texts)), 1))
-        named = np.zeros(BUCKETS, bool)
-        named[key[labels.any(axis=0)[whose]]] = True
-        keep = named[key]
+        keep = named_features(texts, labels)[key]
         whose, key = whose[keep], key[keep]
         used, at = np.unique(key, return_inverse=True)
         weights, bias = np.zeros((len(CATEGORIES), BUCKETS), np.float32), np.zeros(len(CATEGORIES))
         for c, y in enumerate(labels.astype(float)):
-            v = np.where(y > 0, weight / max((weight * y).sum(), 1e-9), weight / max((weight * (1 - y)).sum(), 1e-9))
-            with_c, without = np.bincount(at, (y * v)[whose], len(used)), np.bincount(at, ((1 - y) * v)[whose], len(used))
+            with_c, without = np.bincount(at, (y * weight)[whose], len(used)), np.bincount(at, ((1 - y) * weight)[whose], len(used))
+            without += mass * count[used] / max(n, 1)
+            with_c, without = with_c / max((weight * y).sum(), 1e-9), without / max((weight * (1 - y)).sum() + mass * (n > 0), 1e-9)
             floor = alpha / max(y.sum(), 1)
-            ratio = np.log((with_c + floor) / (without + floor))
+            weights[c, used] = np.log((with_c + floor) / (without + floor))
+        top = reach(weights)
+        for c, y in enumerate(labels.astype(float)):
+            v = np.where(y > 0, weight / max((weight * y).sum(), 1e-9), weight / max((weight * (1 - y)).sum(), 1e-9))
+            ratio = weights[c, used].astype(float)
             value = ratio[at] / size[whose]
             w, b, vw, vb = np.ones(len(used)), 0.0, np.zeros(len(used)), 0.0
             z = np.bincount(whose, value, len(texts))
-            low, high = np.quantile(z[y == 0], 0.999) if (y == 0).any() else 0.0, np.quantile(z[y > 0], 0.05) if y.any() else 1.0
+            low, high = max(np.quantile(z[y == 0], ORDINARY) if (y == 0).any() else 0.0, top[c]), np.quantile(z[y > 0], 0.05) if y.any() else 1.0
             steep = 8.0 / max(high - low, 0.5)
             plain_w, plain_b = steep, -steep * (low + high) / 2
             w[:] = plain_w
@@ -191,6 +213,13 @@ class Model:
         return cls(weights, bias)
 
 
+def named_features(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Which features a labelled text has."""
+    named = np.zeros(BUCKETS, bool)
+    named[features([t for t, y in zip(texts, labels.any(axis=0), strict=True) if y] or [""])[0]] = True
+    return named
+
+
 # ------------------------------------------------------------ bootstrapping
 
 SLOT = "\u25a2"
@@ -343,6 +372,73 @@ def _best(model: Model, docs: Iterable[Iterable[str]]) -> np.ndarray:
     return best
 
 
+def _ordinary(pdf: pd.DataFrame, flagged: set[str], edges: dict[str, list[tuple[str, str]]]) -> Iterator[list[str]]:
+    """The sentences that are neither labelled nor in a known frame, in parts."""
+    part, size = [], 0
+    for forms in pdf["forms"]:
+        for form in forms:
+            plain = bare(form)
+            if plain not in flagged and not any(True for _ in _slots(plain, edges)):
+                part.append(form)
+                size += len(form)
+                if size > 1 << 19:
+                    yield part
+                    part, size = [], 0
+    if part:
+        yield part
+
+
+def background(forms: DataFrame, named: np.ndarray, flagged: set[str], edges: dict[str, list[tuple[str, str]]]) -> tuple[np.ndarray, int]:
+    """In how many ordinary sentences of all documents each of the ``named``
+    features is, and the number of these sentences."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, n = np.zeros(BUCKETS, np.int64), 0
+        for pdf in batches:
+            for part in _ordinary(pdf, flagged, edges):
+                n += len(part)
+                count += np.bincount(distinct_features(part, named)[0], minlength=BUCKETS)
+        at = np.flatnonzero(count)
+        yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(count[at], n)})
+
+    rows = forms.select("forms").mapInPandas(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros(BUCKETS, np.int64)
+    for bucket, n in rows:
+        if bucket >= 0:
+            count[bucket] = n
+    return count, sum(n for bucket, n in rows if bucket < 0)
+
+
+def reached(forms: DataFrame, flagged: set[str], edges: dict[str, list[tuple[str, str]]]) -> Callable[[np.ndarray], np.ndarray]:
+    """What all but few ordinary sentences of all documents stay below."""
+
+    def of(ratios: np.ndarray) -> np.ndarray:
+        shared = forms.sparkSession.sparkContext.broadcast(ratios)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: Counter = Counter()
+            for pdf in batches:
+                for part in _ordinary(pdf, flagged, edges):
+                    key, whose = features(part)
+                    size = np.sqrt(np.maximum(np.bincount(whose, minlength=len(part)), 1))
+                    for c, w in enumerate(shared.value):
+                        z = np.bincount(whose, w[key], len(part)) / size
+                        seen.update((c, int(x)) for x in np.floor(z * GRAIN))
+            yield pd.DataFrame([(c, x, n) for (c, x), n in seen.items()], columns=["c", "x", "n"])
+
+        found = forms.select("forms").mapInPandas(work, "c int, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n")).collect()
+        shared.unpersist()
+        top = np.full(len(CATEGORIES), -np.inf)
+        for c in range(len(CATEGORIES)):
+            own = sorted((x, n) for k, x, n in found if k == c)
+            if own:
+                sums = np.cumsum([n for _, n in own])
+                top[c] = (own[int(np.searchsorted(sums, ORDINARY * sums[-1]))][0] + 1) / GRAIN
+        return top
+
+    return of
+
+
 def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[str]]) -> Model:
     """The model for documents of such ``forms``, from labelled ``samples``."""
     own = [undisguise(t, lexicon) for t in samples["sample_text"]]
@@ -360,20 +456,18 @@ def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[st
     for frame, fillers in zip(seen["frame"], seen["fillers"], strict=True):
         if frame not in known.frames and len(fillers) < FILLERS and len(harmless) < LEARNED:
             harmless += [frame.replace(SLOT, f) for f in fillers]
-    picked = forms.orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND // 4).select(F.explode("forms").alias("f")).where("length(f) <= 2000").limit(4 * BACKGROUND).toPandas()["f"].tolist()
     flagged = set(learned) | {o for o, c in zip(own, samples["category"], strict=True) if c in CATEGORIES}
     edges = known.by_edge()
-    ordinary = [f for f in dict.fromkeys(picked) if bare(f) not in flagged and not any(True for _ in _slots(bare(f), edges))][:BACKGROUND]
     learned_items = sorted(learned.items(), key=lambda x: _hash(x[0]))[:LEARNED]
     labelled = {}
     for text, category in zip(own, samples["category"], strict=True):
         labelled.setdefault((text, category), None)
     rows = [(t, c, 1.0) for t, c in labelled] + [(t, c, 1.0) for t, c in learned_items] + [(t, "none", 1.0) for t in harmless]
     mass = max(1.0, sum(1.0 for _, c, _ in rows if c == "none"))
-    rows += [(t, "none", mass / max(len(ordinary), 1)) for t in ordinary]
     texts = [t for t, _, _ in rows]
     labels = np.array([[c == k for _, c, _ in rows] for k in CATEGORIES])
-    return Model.fit(texts, labels, np.array([w for _, _, w in rows]))
+    count, n = background(forms, named_features(texts, labels), flagged, edges)
+    return Model.fit(texts, labels, np.array([w for _, _, w in rows]), count, n, mass, reached(forms, flagged, edges))
 
 
 def _hash(text: str) -> int:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from strandline.llm import abuse
@@ -42,3 +43,23 @@ def test_held_out_accuracy(spark, small):
 def test_empty(spark, small):
     samples = spark.read.parquet(f"{small}/flag_samples.parquet")
     assert abuse.flagged(spark.createDataFrame([], "doc_id long, text string, source string"), samples).count() == 0
+
+
+def test_ordinary_text_is_counted_over_all_documents(spark):
+    """More documents and longer sentences than any sample; known ones are left out."""
+    docs = [(i, [f"ordinary sentence of document {chr(97 + i % 26)}", "all moles are vermin here"]) for i in range(2000)] + [(2000, ["a technical use of vermin " * 200])]
+    frames = spark.createDataFrame(docs, "doc_id long, forms array<string>").repartition(3)
+    named = abuse.named_features(["vermin here", "ordinary"], np.array([[True, True]]))
+    flagged = {"all moles are vermin here"}
+    want, n = np.zeros(abuse.BUCKETS, int), 0
+    for _, forms in docs:
+        for form in (f for f in forms if f not in flagged):
+            n += 1
+            for key in set(abuse.features([form])[0].tolist()):
+                want[key] += named[key]
+    count, seen = abuse.background(frames, named, flagged, {})
+    assert seen == n == 2001
+    assert (count == want).all()
+    top = abuse.reached(frames, flagged, {})(np.ones((3, abuse.BUCKETS)))
+    longest = np.sqrt(len(abuse.features(["ordinary sentence of document a"])[0]))
+    assert all(0 <= t - longest <= 0.02 for t in top)
