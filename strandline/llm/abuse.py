@@ -11,7 +11,10 @@ widened by mutual bootstrapping over all documents: sentences of a category
 that differ in one place give *frames* and *fillers*; a frame of the documents
 that takes two known fillers is new, a filler seen in two known frames is new,
 and so on for ``ROUNDS`` rounds. Sentences with a known filler in no frame, that
-come again and again with this one filler, are learned as harmless.
+come again and again with this one filler, are learned as harmless. All learned
+frames and fillers are kept and matched exactly: a sentence that is a known frame
+around any known filler of its category has that category. They grow with the
+distinct wordings of the documents, not with their number.
 
 Ordinary text is every sentence of every document that is in no known frame:
 its features are counted in one distributed aggregation, whose result has at
@@ -24,7 +27,7 @@ fillers, the counts and the scoring cover every sentence of every document.
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -282,17 +285,17 @@ class Wordings:
         return re.compile("|".join(parts) or r"(?!)")
 
     def by_edge(self) -> dict[str, list[tuple[str, str]]]:
-        """Frames by their first or last characters."""
+        """Frames by their first or last characters, short ones under no key."""
         out: dict[str, list[tuple[str, str]]] = {}
         for f in self.frames:
             before, after = f.split(SLOT)
-            out.setdefault("<" + before[:5] if len(before) >= 5 else ">" + after[-5:], []).append((before, after))
+            out.setdefault("<" + before[:5] if len(before) >= 5 else ">" + after[-5:] if len(after) >= 5 else "", []).append((before, after))
         return out
 
 
 def _slots(form: str, edges: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[str, str]]:
     """Known frames that the sentence fits, with what fills them."""
-    for before, after in [*edges.get("<" + form[:5], ()), *edges.get(">" + form[-5:], ())]:
+    for before, after in [*edges.get("<" + form[:5], ()), *edges.get(">" + form[-5:], ()), *edges.get("", ())]:
         if len(form) > len(before) + len(after) and form.startswith(before) and form.endswith(after):
             middle = form[len(before):len(form) - len(after)]
             if _is_filler(middle):
@@ -334,8 +337,8 @@ def _pairs(pattern: re.Pattern, edges: dict[str, list[tuple[str, str]]]):
     return work
 
 
-def _widen(forms: DataFrame, known: Wordings) -> tuple[Wordings, pd.DataFrame]:
-    """One round of bootstrapping; also the pairs it saw, by count."""
+def _widen(forms: DataFrame, known: Wordings) -> tuple[Wordings, DataFrame]:
+    """One round of bootstrapping; also the frames that come often with one filler."""
     pairs = (
         forms.select("forms").mapInPandas(_pairs(known.filler_pattern(), known.by_edge()), "frame string, filler string, known_filler boolean")
         .groupBy("frame", "filler", "known_filler").agg(F.count("*").alias("n"))
@@ -343,21 +346,19 @@ def _widen(forms: DataFrame, known: Wordings) -> tuple[Wordings, pd.DataFrame]:
     pairs = settle(pairs)
     by_frame = (
         pairs.where("known_filler").groupBy("frame").agg(F.collect_set("filler").alias("fillers"), F.sum("n").alias("n"))
-        .where((F.size("fillers") >= FILLERS) | (F.col("n") >= HARMLESS))
-        .orderBy(F.size("fillers").desc(), F.col("n").desc(), "frame").limit(4 * LEARNED).toPandas()
     )
+    by_new = by_frame.where(F.size("fillers") >= FILLERS).orderBy("frame").toPandas()
     by_filler = (
         pairs.where("NOT known_filler").groupBy("filler").agg(F.collect_set("frame").alias("frames"), F.sum("n").alias("n"))
-        .where((F.size("frames") >= FRAMES) | (F.col("n") >= OFTEN)).orderBy(F.size("frames").desc(), "filler").limit(LEARNED).toPandas()
+        .where((F.size("frames") >= FRAMES) | (F.col("n") >= OFTEN)).orderBy("filler").toPandas()
     )
     out = Wordings()
     out.frames, out.fillers = dict(known.frames), dict(known.fillers)
-    for frame, fillers in zip(by_frame["frame"], by_frame["fillers"], strict=True):
-        if len(fillers) >= FILLERS:
-            out.frames.setdefault(frame, Counter(known.fillers[f] for f in sorted(fillers)).most_common(1)[0][0])
+    for frame, fillers in zip(by_new["frame"], by_new["fillers"], strict=True):
+        out.frames.setdefault(frame, Counter(known.fillers[f] for f in sorted(fillers)).most_common(1)[0][0])
     for filler, frames in zip(by_filler["filler"], by_filler["frames"], strict=True):
         out.fillers.setdefault(filler, Counter(known.frames[f] for f in sorted(frames)).most_common(1)[0][0])
-    return out, by_frame
+    return out, by_frame.where((F.size("fillers") < FILLERS) & (F.col("n") >= HARMLESS))
 
 
 def _best(model: Model, docs: Iterable[Iterable[str]]) -> np.ndarray:
@@ -439,39 +440,56 @@ def reached(forms: DataFrame, flagged: set[str], edges: dict[str, list[tuple[str
     return of
 
 
-def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[str]]) -> Model:
-    """The model for documents of such ``forms``, from labelled ``samples``."""
+def learned_rows(known: Wordings) -> dict[str, str]:
+    """Up to ``LEARNED`` sentences, each with its category, drawn evenly from
+    all known frames filled with all known fillers of their kind."""
+    kinds: dict[tuple[str, bool], tuple[list[str], list[str]]] = {}
+    for i, table in enumerate((known.frames, known.fillers)):
+        for x in sorted(table):
+            kinds.setdefault((table[x], bool(_HAN.search(x))), ([], []))[i].append(x)
+    sizes = [len(a) * len(b) for a, b in kinds.values()]
+    total, out, start = sum(sizes), {}, 0
+    drawn = sorted(random.Random(0).sample(range(total), min(LEARNED, total)))
+    for ((category, _), (frames, fillers)), size in zip(kinds.items(), sizes, strict=True):
+        for k in (k - start for k in drawn if start <= k < start + size):
+            out[frames[k // len(fillers)].replace(SLOT, fillers[k % len(fillers)])] = category
+        start += size
+    return out
+
+
+def exact(form: str, known: Wordings, edges: dict[str, list[tuple[str, str]]]) -> Iterator[str]:
+    """Categories whose known frame the sentence is, around a known filler."""
+    for frame, filler in _slots(bare(form), edges):
+        if known.fillers.get(filler) == known.frames[frame]:
+            yield known.frames[frame]
+
+
+def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[str]]) -> tuple[Model, Wordings]:
+    """The model for documents of such ``forms``, from labelled ``samples``,
+    and the wordings learned on the way."""
     own = [undisguise(t, lexicon) for t in samples["sample_text"]]
     known = Wordings.of_samples(own, list(samples["category"]))
-    seen = pd.DataFrame({"frame": [], "fillers": [], "n": []})
+    seen = None
     for _ in range(ROUNDS):
         before = (len(known.frames), len(known.fillers))
         known, seen = _widen(forms, known)
         if before == (len(known.frames), len(known.fillers)):
             break
-    learned, harmless = {}, []
-    for frame, category in list(known.frames.items())[:LEARNED]:
-        for filler in sorted(f for f, c in known.fillers.items() if c == category and bool(_HAN.search(f)) == bool(_HAN.search(frame)))[:20]:
-            learned[frame.replace(SLOT, filler)] = category
-    for frame, fillers in zip(seen["frame"], seen["fillers"], strict=True):
-        if frame not in known.frames and len(fillers) < FILLERS and len(harmless) < LEARNED:
-            harmless += [frame.replace(SLOT, f) for f in fillers]
+    learned = learned_rows(known)
+    # At most so many are known frames of the samples.
+    often = seen.orderBy(F.col("n").desc(), "frame").limit(LEARNED + len(known.frames)).toPandas()
+    harmless = [frame.replace(SLOT, f) for frame, fillers in zip(often["frame"], often["fillers"], strict=True) if frame not in known.frames for f in fillers][:LEARNED]
     flagged = set(learned) | {o for o, c in zip(own, samples["category"], strict=True) if c in CATEGORIES}
     edges = known.by_edge()
-    learned_items = sorted(learned.items(), key=lambda x: _hash(x[0]))[:LEARNED]
     labelled = {}
     for text, category in zip(own, samples["category"], strict=True):
         labelled.setdefault((text, category), None)
-    rows = [(t, c, 1.0) for t, c in labelled] + [(t, c, 1.0) for t, c in learned_items] + [(t, "none", 1.0) for t in harmless]
+    rows = [(t, c, 1.0) for t, c in labelled] + [(t, c, 1.0) for t, c in learned.items()] + [(t, "none", 1.0) for t in harmless]
     mass = max(1.0, sum(1.0 for _, c, _ in rows if c == "none"))
     texts = [t for t, _, _ in rows]
     labels = np.array([[c == k for _, c, _ in rows] for k in CATEGORIES])
     count, n = background(forms, named_features(texts, labels), flagged, edges)
-    return Model.fit(texts, labels, np.array([w for _, _, w in rows]), count, n, mass, reached(forms, flagged, edges))
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+    return Model.fit(texts, labels, np.array([w for _, _, w in rows]), count, n, mass, reached(forms, flagged, edges)), known
 
 
 def score(documents: DataFrame, samples: DataFrame) -> DataFrame:
@@ -487,13 +505,20 @@ def score(documents: DataFrame, samples: DataFrame) -> DataFrame:
     lexicon = words_of(undisguise(t) for t, c in zip(labelled["sample_text"], labelled["category"], strict=True) if c in CATEGORIES)
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     forms = settle(texts.mapInPandas(_forms(lexicon), "doc_id long, forms array<string>"))
-    model = fit_model(forms, labelled, lexicon)
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+    model, known = fit_model(forms, labelled, lexicon)
+    shared = spark.sparkContext.broadcast((model.weights, model.bias, known.frames, known.fillers))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = Model(*shared.value)
+        weights, bias, frames, fillers = shared.value
+        local, known = Model(weights, bias), Wordings()
+        known.frames, known.fillers = frames, fillers
+        edges = known.by_edge()
         for pdf in batches:
             best = _best(local, pdf["forms"])
+            for i, own in enumerate(pdf["forms"]):
+                for form in own:
+                    for category in exact(form, known, edges):
+                        best[i, CATEGORIES.index(category)] = 1.0
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: best[:, i] for i, c in enumerate(CATEGORIES)}})
 
     scored = forms.mapInPandas(work, "doc_id long, abusive double, hateful double, sexual double")

@@ -63,3 +63,25 @@ def test_ordinary_text_is_counted_over_all_documents(spark):
     top = abuse.reached(frames, flagged, {})(np.ones((3, abuse.BUCKETS)))
     longest = np.sqrt(len(abuse.features(["ordinary sentence of document a"])[0]))
     assert all(0 <= t - longest <= 0.02 for t in top)
+
+
+def test_every_learned_filler_counts(spark):
+    """Forty fillers of one frame, of which a late one comes in a second frame."""
+    fillers = [f"{a}{b}xon" for a in "abcdefgh" for b in "aeiou"]
+    known = abuse.Wordings()
+    known.frames = dict.fromkeys((f"all of them are {abuse.SLOT} and must go", f"we know: these are {abuse.SLOT}, every one"), "hateful")
+    known.fillers = dict.fromkeys(fillers, "hateful")
+    rows = abuse.learned_rows(known)
+    assert set(rows) == {f.replace(abuse.SLOT, x) for f in known.frames for x in fillers}
+    edges = known.by_edge()
+    assert list(abuse.exact("all of them are huxon and must go", known, edges)) == ["hateful"]
+    assert list(abuse.exact("all of them are friends and must go", known, edges)) == []
+
+
+def test_wordings_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "LEARNED", 2)
+    known = abuse.Wordings()
+    known.fillers = {"vermin": "hateful", "rats": "hateful"}
+    docs = [(i, [f"number {chr(97 + i)}{chr(98 + i)} says they are {x} again" for x in known.fillers]) for i in range(20)]
+    wider, _ = abuse._widen(spark.createDataFrame(docs, "doc_id long, forms array<string>"), known)
+    assert len(wider.frames) == 20
