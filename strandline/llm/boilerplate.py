@@ -158,6 +158,12 @@ def _digest(text: str) -> bytes:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
+def body_key(blocks: list[dict]) -> int | None:
+    """The same for pages of a site that agree in every block but links."""
+    own = [(b["path"], b["raw"]) for b in blocks if not b["linked"]]
+    return _key(repr(own)) if own else None
+
+
 def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     paths: dict[str, int] = {}
     for pdf in batches:
@@ -176,7 +182,7 @@ def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in zip(found, found[1:], strict=False):
                 a["next"] = b["like"]
             rows.append(found)
-        yield pd.DataFrame({"page_id": pdf["page_id"], "site": pdf["site"], "blocks": rows})
+        yield pd.DataFrame({"page_id": pdf["page_id"], "site": pdf["site"], "body": pd.array([body_key(r) for r in rows], dtype="Int64"), "blocks": rows})
 
 
 def text_lines(raw: str) -> tuple[str | None, list[str]]:
@@ -281,12 +287,13 @@ def main_blocks(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """
     html_pages = pages.where(F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("site", F.lit("")).alias("site"), "html")
-    read = settle(html_pages.mapInPandas(_read_pages, f"page_id long, site string, blocks {_BLOCK}"))
-    # Rows of one page share its weight, so that repeats do not count as agreement.
+    read = settle(html_pages.mapInPandas(_read_pages, f"page_id long, site string, body long, blocks {_BLOCK}"))
+    # Rows of one page share its weight, and so do pages of a site with one body, so that repeats do not count as agreement.
     repeats = read.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    copies = read.where("body IS NOT NULL").groupBy("site", "body").agg(F.count("*").alias("copies")).where("copies > 1")
     blocks = (
-        read.join(repeats, "page_id", "left")
-        .select("page_id", "site", (1.0 / F.coalesce("rows", F.lit(1))).alias("weight"), F.posexplode("blocks").alias("pos", "b"))
+        read.join(repeats, "page_id", "left").join(copies, ["site", "body"], "left")
+        .select("page_id", "site", (1.0 / F.greatest(F.coalesce("rows", F.lit(1)), F.coalesce("copies", F.lit(1)))).alias("weight"), F.posexplode("blocks").alias("pos", "b"))
         .select("page_id", "site", "weight", "pos", "b.*")
     )
     leaves, phrases = _judge(blocks)

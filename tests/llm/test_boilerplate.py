@@ -52,3 +52,17 @@ def test_blocks_of_broken_markup():
     assert got == ["one", "twostill two", "three", "four", "a", "b", "x", "y"]
     assert boilerplate.page_blocks("") == []
     assert len(boilerplate.page_blocks("<p>a</p>" * 20000)) == 20000
+
+
+def test_one_article_on_a_third_of_the_pages(spark):
+    """Copies under other ids, with other teasers, count once."""
+    pages, want = [], set()
+    for i in range(150):
+        k = 0 if i % 3 == 0 else i
+        words = f"Story {chr(97 + k % 26)}{chr(97 + k // 26)}"
+        html = page(i, [f"{words} part {p}" for p in ("one", "two", "three")]).replace(f"Title {i} &amp; more", words)
+        pages.append((i, f"https://a.example/{i}", "a.example", words, html))
+        want |= {(i, md5(t)) for t in (words, *(f"{words} part {p}" for p in ("one", "two", "three")))}
+    frame = spark.createDataFrame(pages, "page_id long, url string, site string, title string, html string")
+    parsed = spark.createDataFrame([], "page_id long, url string, raw_data string")
+    assert {(r.page_id, r.block_md5) for r in boilerplate.main_blocks(frame, parsed).collect()} == want
