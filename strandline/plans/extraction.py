@@ -49,6 +49,12 @@ def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_metadata(table(spark, sf_dir, "pages").where(F.col("html").contains("<title>") & ~raw.contains("&") & ~raw.startswith(" "))).where("name = 'title'")
 
 
+@query()
+def extract_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metadata entry of every page."""
+    return X.page_metadata(table(spark, sf_dir, "pages"))
+
+
 @query("SELECT page_id, CASE WHEN lower(html) LIKE '%captcha%' THEN 'generic' ELSE 'none' END AS challenge FROM pages")
 def extract_challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.detect_challenge(F.col("html")).alias("challenge"))

@@ -353,3 +353,16 @@ def test_every_query_runs_and_names_match(spark, small):
     assert entry.entry(spark).count() > 0
     for name in ("rel_pivot", "text_bm25", "quality_entropy", "series_summary", "p7_found"):
         assert queries[name](spark, small).count() >= 0
+
+
+# ---------------------------------------------------------- whole-table queries
+
+
+def test_metadata_of_all_pages(spark, tmp_path):
+    from strandline.plans import extraction as plans
+
+    pages = [(1, "<head><title>Cats &amp; dogs</title><meta name='author' content='A &lt; B'></head>"), (2, "<title> Blank before</title>"), (3, "<p>none</p>"), (None, "<title>x</title>"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.name, r.content.strip()) for r in plans.extract_metadata_all(spark, str(tmp_path)).collect()}
+    assert got >= {(1, "title", "Cats & dogs"), (1, "author", "A < B"), (2, "title", "Blank before")}
+    assert {k for k, _, _ in got} == {1, 2}
