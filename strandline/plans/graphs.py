@@ -118,3 +118,24 @@ def graph_topological(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of the nations, edges pointing to larger names."""
     nodes, edges = trade(spark, sf_dir)
     return G.topological_levels(nodes, edges.where("src < dst"))
+
+
+@query()
+def graph_orphans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the whole part-supplier graph nothing leads to."""
+    nodes, edges = links(spark, sf_dir)
+    return nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+@query()
+def graph_dead_ends_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the whole part-supplier graph that lead nowhere."""
+    nodes, edges = links(spark, sf_dir)
+    return nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+
+
+@query()
+def graph_depths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from one part, either way, on the whole part-supplier graph."""
+    _, edges = links(spark, sf_dir)
+    return G.depths(G.both_ways(edges), spark.createDataFrame([("p1",)], "id string"))

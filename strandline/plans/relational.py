@@ -241,6 +241,12 @@ def rel_group_to_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_totalprice > 450000").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
 
 
+@query()
+def rel_group_to_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as sorted lists by priority."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+
+
 @query("SELECT lang, source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT url) AS urls FROM documents GROUP BY 1,2")
 def rel_documents_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and source, nulls as groups of their own."""

@@ -366,3 +366,16 @@ def test_metadata_of_all_pages(spark, tmp_path):
     got = {(r.page_id, r.name, r.content.strip()) for r in plans.extract_metadata_all(spark, str(tmp_path)).collect()}
     assert got >= {(1, "title", "Cats & dogs"), (1, "author", "A < B"), (2, "title", "Blank before")}
     assert {k for k, _, _ in got} == {1, 2}
+
+
+def test_whole_graph_and_all_orders(spark, tmp_path):
+    from strandline.plans import graphs, relational as lists
+
+    lines = [(1, 1, "N", 10.0), (1, 2, "R", 90000.0), (2, 2, "A", 5.0), (3, 3, "N", 1.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(5, "HIGH", 1.0), (2, "HIGH", 500000.0), (9, "LOW", 7.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.id for r in graphs.graph_orphans_all(spark, str(tmp_path)).collect()} == {"p1", "p2", "p3"}
+    assert {r.id for r in graphs.graph_dead_ends_all(spark, str(tmp_path)).collect()} == {"s1", "s2", "s3"}
+    assert {r.id: r.depth for r in graphs.graph_depths_all(spark, str(tmp_path)).collect()} == {"p1": 0, "s1": 1, "s2": 1, "p2": 2}
+    assert {r.o_orderpriority: r["keys"] for r in lists.rel_group_to_lists_all(spark, str(tmp_path)).collect()} == {"HIGH": [2, 5], "LOW": [9]}
