@@ -7,8 +7,9 @@ from strandline.llm import lookalike
 CASES = {
     "сopy the file": "copy the file", "Tоp 50": "Top 50", "Ｔop": "Top", "café bar": "café bar", "a​b": "ab",
     "a b": "a b", "oﬃce": "office", "⼤学": "大学", "1２": "12", "А类": "A类", "so­ft": "soft", "Саре": "Cape",
+    "мoсква": "москва", "привeт": "привет", "сору": "copy", "сopу": "copy",
 }
-FINE = ["обзор рынка", "H₂O", "10 m²", "①②", "👩‍💻 desk", "x̄ = 4.2", "全角，标点！", "Ж-модель", "5 Ω", "copy Cape Top A类", "copy Cape Top A类", "", "plain"]
+FINE = ["обзор рынка", "H₂O", "10 m²", "①②", "👩‍💻 desk", "x̄ = 4.2", "全角，标点！", "Ж-модель", "5 Ω", "copy Cape Top A类", "copy Cape Top A类", "", "plain", "москва привет", "qzхw", "αqzхw", "λόγoxs", "oрз"]
 
 
 @pytest.fixture(scope="module")
@@ -25,5 +26,11 @@ def test_forms(seen):
     assert got == {k: unicodedata.normalize("NFC", v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize(("token", "want"), [
+    ("мoсква", ["москва"]), ("Tоp", ["Top", "ТоР"][:1]), ("сope", ["cope", "соре"]), ("qzхw", ["qzxw"]), ("word", []), ("слово", []), ("αрe", ["ape"]), ("шzо", [])])
+def test_dominant_script_comes_first(token, want):
+    assert lookalike.readings(token)[:len(want)] == want and bool(lookalike.readings(token)) == bool(want)
+
+
 def test_empty(spark):
     assert lookalike.deviating(spark.createDataFrame([], "field_id long, field_values array<string>"), spark.createDataFrame([], "response_id long, tags string")).count() == 0
