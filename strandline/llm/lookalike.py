@@ -30,10 +30,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.mojibake import PairModel, corpus_counts, restore
+from strandline.llm.mojibake import PairModel, corpus_counts, repaired
 from strandline.session import settle
 
 INVISIBLE = r"\u00ad\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\u180e\u034f"
@@ -142,28 +142,19 @@ def substitute(text: str, pairs: dict[str, str]) -> str:
     return _TOKEN.sub(lambda m: pairs.get(m.group(), m.group()), text)
 
 
-_SEEN = "row_key long, pos int, form string, differs boolean, asked array<struct<k:int,t:string,m:string,need:int>>"
+_SEEN = "row_key long, pos int, value string, form string, differs boolean, asked array<struct<k:int,t:string,m:string,need:int>>"
 
 
-def _reader(spark: SparkSession, model: PairModel):
-    shared = spark.sparkContext.broadcast((model.keys, model.bits, model.base, model.words))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local, known = PairModel(*shared.value), {}
-        for pdf in batches:
-            rows = []
-            for key, pos, value, may in zip(pdf["row_key"], pdf["pos"], pdf["value"], pdf["may_garble"], strict=True):
-                form = plain_form(value)
-                found = candidates(form)
-                if form == value and not found:
-                    continue
-                if may and restore(value, local, known)[0]:
-                    continue
-                rows.append((key, pos, form, form != value, [{"k": k, "t": t, "m": m, "need": need} for k, (t, m, need) in enumerate(found)]))
-            if rows:
-                yield pd.DataFrame(rows, columns=["row_key", "pos", "form", "differs", "asked"])
-
-    return work
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for key, pos, value in zip(pdf["row_key"], pdf["pos"], pdf["value"], strict=True):
+            form = plain_form(value)
+            found = candidates(form)
+            if form != value or found:
+                rows.append((key, pos, value, form, form != value, [{"k": k, "t": t, "m": m, "need": need} for k, (t, m, need) in enumerate(found)]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["row_key", "pos", "value", "form", "differs", "asked"])
 
 
 def _values(extracted: DataFrame) -> DataFrame:
@@ -184,18 +175,16 @@ def normalised(extracted: DataFrame, volunteers: DataFrame) -> DataFrame:
 
     Null keys and values give no rows; repeated records give theirs once.
     """
-    spark = extracted.sparkSession
     fields, tags = _values(extracted), _tags(volunteers)
-    model = PairModel.fit(corpus_counts(fields).unionByName(corpus_counts(tags)))
+    model, words = PairModel.fit(corpus_counts(fields).unionByName(corpus_counts(tags)))
     all_values = fields.withColumn("origin", F.lit("extracted")).unionByName(tags.withColumn("origin", F.lit("volunteers")))
     read = None
     for origin, df in (("extracted", fields), ("volunteers", tags)):
-        part = (
-            df.where(F.col("value").rlike(r"[^\x00-\x7f]")).withColumn("may_garble", F.lit(origin == "extracted"))
-            .mapInPandas(_reader(spark, model), _SEEN).withColumn("origin", F.lit(origin))
-        )
+        part = df.where(F.col("value").rlike(r"[^\x00-\x7f]")).mapInPandas(_read, _SEEN).withColumn("origin", F.lit(origin))
         read = part if read is None else read.unionByName(part)
     read = settle(read.distinct())
+    garbled = repaired(read.where("origin = 'extracted'"), model, words).select(F.lit("extracted").alias("origin"), "row_key", "pos").distinct()
+    read = read.join(garbled, ["origin", "row_key", "pos"], "left_anti")
     asked = read.select("origin", "row_key", "pos", F.explode("asked").alias("a")).select("origin", "row_key", "pos", "a.*").withColumn("word", F.lower("m"))
     witnesses = (
         all_values.select(F.explode(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
