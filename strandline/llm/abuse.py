@@ -10,7 +10,7 @@ The labelled samples hold few wordings. Before the model is fitted they are
 widened by mutual bootstrapping over all documents: sentences of a category
 that differ in one place give *frames* and *fillers*; a frame of the documents
 that takes two known fillers is new, a filler seen in two known frames is new,
-and so on for ``ROUNDS`` rounds. Sentences with a known filler in no frame, that
+and so on until nothing new is found. Sentences with a known filler in no frame, that
 come again and again with this one filler, are learned as harmless. All learned
 frames and fillers are kept and matched exactly: a sentence that is a known frame
 around any known filler of its category has that category. They grow with the
@@ -45,7 +45,8 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4, 5)
 LEARNED = 3_000
-ROUNDS = 3
+#: Characters of a frame on either side of its slot.
+AROUND = 200
 #: Distinct fillers that make a frame, and frames that make a filler.
 FILLERS, FRAMES = 2, 2
 #: Occurrences in known frames that make a filler of one frame.
@@ -59,41 +60,71 @@ ORDINARY, GRAIN = 0.999, 100
 #: Share of plain naive Bayes in the weights; the rest is fitted.
 BAYES = 0.3
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_HAN_GAP = re.compile(r"(?<=[一-鿿])[ ·*_#.\-​]+(?=[一-鿿])")
+_END = re.compile(r"[.!?…](?=\s)|[。！？]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_HAN_GAP = re.compile(r"(?<=[一-鿿])[ ·*_#.\-\u200b]+(?=[一-鿿])")
 _SPELLED = re.compile(r"(?<!\w)\w(?:([ .·_*-])\w)(?:\1\w)+(?!\w)")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_WORD = re.compile(r"[^\s,;:!?()\"、。，]+")
-_SIGN = re.compile(r"[0134579$@]|(?<=\w)[*#_](?=\w)")
+#: Signs that may stand for letters, beside a letter or by themselves.
+_SIGN = re.compile(r"[a-z][0134579$@*#_]|[0134579*#_][a-z]|[$@]|\w[*#_]\w")
+_PARTS_WORDS = frozenset(" \t\n\r\f\v,;:!?()\"、。，\u3000")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_MARKED = re.compile(r"(?<=\w)[*#_](?=\w)")
+_INSIDE = re.compile(r"[a-z][$@0134579]+[a-z]|[$@]")
 # Signs that stand for letters in disguised words.
 LEET = str.maketrans("0134579$@", "oieastgsa")
-_LIKE = str.maketrans(LOOKALIKES)
+_LIKE = re.compile("[" + "".join(LOOKALIKES) + "]")
 
 
-_MARKED = re.compile(r"(?<=\w)[*#_](?=\w)")
+def _combining(codes: range) -> re.Pattern:
+    return re.compile("[" + "".join(c for c in map(chr, codes) if unicodedata.combining(c)) + "]")
+
+
+_ACCENTS, _ACCENTS_BEYOND = _combining(range(0x80, 0x10000)), _combining(range(0x10000, 0x110000))
 
 
-def undisguise(sentence: str, lexicon: dict[int, set[str]] | None = None) -> str:
-    """The form in which wordings are compared; numbers are alike. Words with
-    masked letters or with signs for letters are read as the words of
-    ``lexicon`` (by length) that they fit."""
+def undisguise(text: str, lexicon: dict[int, set[str]] | None = None) -> str:
+    """The form in which wordings are compared, of a sentence or of sentences
+    at a line each; numbers are alike. Words with masked letters or with signs
+    for letters are read as the words of ``lexicon`` (by length) that they fit."""
     lexicon = lexicon or {}
-    s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", sentence))
+    s = text
     if not s.isascii():
-        s = _HAN_GAP.sub("", s)
-        s = "".join(c for c in unicodedata.normalize("NFD", s.translate(_LIKE)) if not unicodedata.combining(c))
+        s = _HAN_GAP.sub("", _INVISIBLE.sub("", unicodedata.normalize("NFKC", s)))
+        s = _LIKE.sub(lambda m: LOOKALIKES[m.group()], s)
+        s = _ACCENTS.sub("", unicodedata.normalize("NFD", s))
+        if max(s, default="") > "\uffff":
+            s = _ACCENTS_BEYOND.sub("", s)
     s = _SPELLED.sub(lambda m: re.sub(r"[ .·_*-]", "", m.group()), s.lower())
-    s = _STRETCH.sub(lambda m: m.group() if m.group() == "xxx" else m.group(1), s)
-    if _SIGN.search(s):
-        s = _WORD.sub(lambda m: _read_word(m.group(), lexicon), s)
-    return _NUMBER.sub("0", s)
+    if _repeats(s):
+        s = _STRETCH.sub(lambda m: m.group() if m.group() == "xxx" else m.group(1), s)
+    return _NUMBER.sub("0", _read_words(s, lexicon))
+
+
+def _repeats(text: str) -> bool:
+    """Whether some character comes three times in a row."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    same = codes[1:] == codes[:-1]
+    return bool((same[1:] & same[:-1] & (codes[2:] > 64)).any())
+
+
+def _read_words(text: str, lexicon: dict[int, set[str]]) -> str:
+    """The text with each word that holds a sign read by ``_read_word``."""
+    out, last = [], 0
+    for m in _SIGN.finditer(text):
+        if m.start() < last:
+            continue
+        a, b = m.start(), m.end()
+        while a > last and text[a - 1] not in _PARTS_WORDS:
+            a -= 1
+        while b < len(text) and text[b] not in _PARTS_WORDS:
+            b += 1
+        out += [text[last:a], _read_word(text[a:b], lexicon)]
+        last = b
+    return "".join(out) + text[last:] if out else text
 
 
 def _read_word(word: str, lexicon: dict[int, set[str]]) -> str:
-    if not _SIGN.search(word):
-        return word
     core = word.strip(".-'")
     if _MARKED.search(core):
         fits = re.compile(".".join(map(re.escape, _MARKED.split(core))))
@@ -102,7 +133,7 @@ def _read_word(word: str, lexicon: dict[int, set[str]]) -> str:
     read = core.translate(LEET)
     if not read.replace("-", "").isalpha():
         return word
-    if read in lexicon.get(len(read), ()) or re.search(r"[^\W\d_][$@0134579]+[^\W\d_]|[$@]", core):
+    if read in lexicon.get(len(read), ()) or _INSIDE.search(core):
         return word.replace(core, read)
     return word
 
@@ -118,40 +149,69 @@ def words_of(texts: Iterable[str]) -> dict[int, set[str]]:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in (p.strip() for p in _SENTENCE.split(text)) if s]
+    return [s for s in (p.strip() for p in _END.sub(r"\g<0>\n", text).split("\n")) if s]
+
+
+def grams(texts: list[str]) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashed n-grams: for each order an array with the bucket of every place
+    of all texts (``BUCKETS`` where no n-gram begins), where each text begins,
+    and how many n-grams it has."""
+    codes = np.frombuffer("".join(f" {t} \x00" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(texts) else np.zeros(0, np.int64)
+    size = sum(np.maximum(lengths - n, 0) for n in ORDERS)
+    closes = np.flatnonzero(codes == 0)
+
+    def each() -> Iterator[np.ndarray]:
+        roll = codes
+        for n in range(2, max(ORDERS) + 1):
+            roll = roll[:-1] * np.uint32(0x9E3779B1) + codes[n - 1:]
+            if n in ORDERS:
+                mixed = roll ^ (roll >> np.uint32(15))
+                mixed *= np.uint32(0x85EBCA6B)
+                mixed >>= np.uint32(14)
+                key = np.full(len(codes), BUCKETS, np.uint32)
+                key[:len(mixed)] = mixed
+                for k in range(n):
+                    key[closes - k] = BUCKETS
+                yield key
+
+    return each(), starts, size
+
+
+def occurrences(texts: list[str]) -> np.ndarray:
+    """How often each feature comes in all texts together."""
+    count = np.zeros(BUCKETS, np.int64)
+    for key in grams(texts)[0] if texts else ():
+        count += np.bincount(key, minlength=BUCKETS + 1)[:BUCKETS]
+    return count
+
+
+def sums(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """For each text and row of ``weights`` the sum over its features, over the
+    root of their number."""
+    out = np.zeros((len(texts), len(weights)))
+    if not texts:
+        return out
+    padded = np.concatenate((weights, np.zeros((len(weights), 1))), axis=1).astype(np.float32)
+    each, starts, size = grams(texts)
+    for key in each:
+        for c, w in enumerate(padded):
+            out[:, c] += np.add.reduceat(w[key], starts, dtype=np.float64)
+    return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts, and the index of the text of each."""
-    joined = "".join(f" {t} \x00\x00\x00\x00\x00" for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    lengths = np.fromiter((len(t) + 7 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    each, starts, _ = grams(texts)
     found, whose = [], []
-    roll = codes.copy()
-    for n in range(2, max(ORDERS) + 1):
-        roll = roll[:-1] * np.uint64(0x9E3779B1) + codes[n - 1:]
-        if n in ORDERS:
-            mixed = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            key = ((mixed >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-            inside = codes[n - 1:] != 0
-            inside &= codes[:len(inside)] != 0
-            found.append(key[inside])
-            whose.append(owner[:len(inside)][inside])
+    for key in each:
+        at = np.flatnonzero(key < BUCKETS)
+        found.append(key[at].astype(np.int64))
+        whose.append(np.searchsorted(starts, at, side="right") - 1)
     return np.concatenate(found), np.concatenate(whose)
 
 
-def distinct_features(texts: list[str], mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each feature of each text once, where ``mask`` has it, and the index of
-    the text."""
-    key, whose = features(texts)
-    if mask is not None:
-        keep = mask[key]
-        key, whose = key[keep], whose[keep]
-    pair = np.unique(whose.astype(np.int64) * BUCKETS + key)
-    return pair % BUCKETS, pair // BUCKETS
-
-
 class Model:
     """Weights of the hashed features, one row for each category."""
 
@@ -160,11 +220,7 @@ class Model:
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """Probability of each category for each undisguised sentence."""
-        if not texts:
-            return np.zeros((0, len(CATEGORIES)))
-        key, whose = features(texts)
-        size = np.sqrt(np.maximum(np.bincount(whose, minlength=len(texts)), 1))
-        z = np.stack([np.bincount(whose, w[key], len(texts)) / size + b for w, b in zip(self.weights, self.bias, strict=True)], axis=1)
+        z = sums(texts, self.weights) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
@@ -173,15 +229,14 @@ class Model:
         reach: Callable[[np.ndarray], np.ndarray], steps: int = 60, decay: float = 1e-3, alpha: float = 1.0,
     ) -> Model:
         """``labels`` has a row for each category, ``weight`` says how much
-        each text counts. ``count`` says in how many of ``n`` ordinary
-        sentences each feature is; together these weigh ``mass``. ``reach``
+        each text counts. ``count`` says how often each feature comes in
+        ``n`` ordinary sentences; together these weigh ``mass``. ``reach``
         gives for ratios of the features, a row for each category, the value
         that few ordinary sentences exceed. Features of no labelled text have
         no weight; a feature without evidence has the ratio zero. Logistic
         regression by gradient descent with momentum on the scaled features,
         blended with plain naive Bayes."""
-        # A feature counts once for each text.
-        key, whose = distinct_features(texts)
+        key, whose = features(texts)
         size = np.sqrt(np.maximum(np.bincount(whose, minlength=len(texts)), 1))
         keep = named_features(texts, labels)[key]
         whose, key = whose[keep], key[keep]
@@ -277,12 +332,29 @@ class Wordings:
                             out.fillers.setdefault(x, c)
         return out
 
-    def filler_pattern(self) -> re.Pattern:
-        han = [f for f in self.fillers if _HAN.search(f)]
-        words = [f for f in self.fillers if not _HAN.search(f)]
-        parts = [rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?![^\W\d_])"] if words else []
-        parts += ["|".join(map(re.escape, sorted(han, key=len, reverse=True)))] if han else []
-        return re.compile("|".join(parts) or r"(?!)")
+    def finder(self) -> Callable[[str], list[tuple[int, int]]]:
+        """Finds where known fillers stand in a text, whole words of Latin
+        script or Han characters; of overlapping ones the longer."""
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for f in self.fillers:
+            known.add_word(f, len(f))
+        if self.fillers:
+            known.make_automaton()
+
+        def find(text: str) -> list[tuple[int, int]]:
+            found = []
+            for last, size in known.iter(text) if self.fillers else ():
+                a, b = last + 1 - size, last + 1
+                if _HAN.match(text[a]) or not (text[a - 1:a].isalpha() or text[b:b + 1].isalpha()):
+                    found.append((a, b))
+            if len(found) > 1:
+                found = sorted(found, key=lambda f: (f[0], -f[1]))
+                found = [f for i, f in enumerate(found) if not i or f[0] >= max(g[1] for g in found[:i])]
+            return found
+
+        return find
 
     def by_edge(self) -> dict[str, list[tuple[str, str]]]:
         """Frames by their first or last characters, short ones under no key."""
@@ -307,29 +379,26 @@ def _forms(lexicon: dict[int, set[str]]):
         for pdf in batches:
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
-                "forms": [[undisguise(s, lexicon) for s in sentences(t)] for t in pdf["text"]]})
+                "forms": [undisguise("\n".join(own), lexicon).split("\n") if (own := sentences(t)) else [] for t in pdf["text"]]})
 
     return work
 
 
-def _pairs(pattern: re.Pattern, edges: dict[str, list[tuple[str, str]]]):
+def _pairs(known: Wordings):
     """Frames around known fillers, and fillers of known frames."""
+    edges = known.by_edge()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = known.finder()
         for pdf in batches:
             rows = []
             for forms in pdf["forms"]:
                 for form in forms:
                     form = bare(form)
-                    if len(form) > 400:
-                        pieces = [form[max(m.start() - 200, 0):m.end() + 200] for m in pattern.finditer(form)]
-                    else:
-                        pieces = [form]
-                    for piece in pieces:
-                        for m in pattern.finditer(piece):
-                            frame = piece[:m.start()] + SLOT + piece[m.end():]
-                            if len(frame) >= 8:
-                                rows.append((frame, m.group(), True))
+                    for a, b in find(form):
+                        frame = form[max(a - AROUND, 0):a] + SLOT + form[b:b + AROUND]
+                        if len(frame) >= 8:
+                            rows.append((frame, form[a:b], True))
                     rows += [(frame, filler, False) for frame, filler in _slots(form, edges)]
             if rows:
                 yield pd.DataFrame(rows, columns=["frame", "filler", "known_filler"])
@@ -340,7 +409,7 @@ def _pairs(pattern: re.Pattern, edges: dict[str, list[tuple[str, str]]]):
 def _widen(forms: DataFrame, known: Wordings) -> tuple[Wordings, DataFrame]:
     """One round of bootstrapping; also the frames that come often with one filler."""
     pairs = (
-        forms.select("forms").mapInPandas(_pairs(known.filler_pattern(), known.by_edge()), "frame string, filler string, known_filler boolean")
+        forms.select("forms").mapInPandas(_pairs(known), "frame string, filler string, known_filler boolean")
         .groupBy("frame", "filler", "known_filler").agg(F.count("*").alias("n"))
     )
     pairs = settle(pairs)
@@ -390,16 +459,16 @@ def _ordinary(pdf: pd.DataFrame, flagged: set[str], edges: dict[str, list[tuple[
 
 
 def background(forms: DataFrame, named: np.ndarray, flagged: set[str], edges: dict[str, list[tuple[str, str]]]) -> tuple[np.ndarray, int]:
-    """In how many ordinary sentences of all documents each of the ``named``
-    features is, and the number of these sentences."""
+    """How often each of the ``named`` features comes in the ordinary
+    sentences of all documents, and the number of these sentences."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, n = np.zeros(BUCKETS, np.int64), 0
         for pdf in batches:
             for part in _ordinary(pdf, flagged, edges):
                 n += len(part)
-                count += np.bincount(distinct_features(part, named)[0], minlength=BUCKETS)
-        at = np.flatnonzero(count)
+                count += occurrences(part)
+        at = np.flatnonzero(count * named)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(count[at], n)})
 
     rows = forms.select("forms").mapInPandas(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -420,11 +489,9 @@ def reached(forms: DataFrame, flagged: set[str], edges: dict[str, list[tuple[str
             seen: Counter = Counter()
             for pdf in batches:
                 for part in _ordinary(pdf, flagged, edges):
-                    key, whose = features(part)
-                    size = np.sqrt(np.maximum(np.bincount(whose, minlength=len(part)), 1))
-                    for c, w in enumerate(shared.value):
-                        z = np.bincount(whose, w[key], len(part)) / size
-                        seen.update((c, int(x)) for x in np.floor(z * GRAIN))
+                    for c, z in enumerate(sums(part, shared.value).T):
+                        for x, k in zip(*np.unique(np.floor(z * GRAIN).astype(np.int64), return_counts=True), strict=True):
+                            seen[c, int(x)] += int(k)
             yield pd.DataFrame([(c, x, n) for (c, x), n in seen.items()], columns=["c", "x", "n"])
 
         found = forms.select("forms").mapInPandas(work, "c int, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n")).collect()
@@ -433,8 +500,8 @@ def reached(forms: DataFrame, flagged: set[str], edges: dict[str, list[tuple[str
         for c in range(len(CATEGORIES)):
             own = sorted((x, n) for k, x, n in found if k == c)
             if own:
-                sums = np.cumsum([n for _, n in own])
-                top[c] = (own[int(np.searchsorted(sums, ORDINARY * sums[-1]))][0] + 1) / GRAIN
+                upto = np.cumsum([n for _, n in own])
+                top[c] = (own[int(np.searchsorted(upto, ORDINARY * upto[-1]))][0] + 1) / GRAIN
         return top
 
     return of
@@ -470,11 +537,9 @@ def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[st
     own = [undisguise(t, lexicon) for t in samples["sample_text"]]
     known = Wordings.of_samples(own, list(samples["category"]))
     seen = None
-    for _ in range(ROUNDS):
+    while seen is None or before != (len(known.frames), len(known.fillers)):
         before = (len(known.frames), len(known.fillers))
         known, seen = _widen(forms, known)
-        if before == (len(known.frames), len(known.fillers)):
-            break
     learned = learned_rows(known)
     # At most so many are known frames of the samples.
     often = seen.orderBy(F.col("n").desc(), "frame").limit(LEARNED + len(known.frames)).toPandas()

@@ -9,7 +9,7 @@ LEX = abuse.words_of(["idiot moron cockroaches ungeziefer"])
 @pytest.mark.parametrize(("given", "form"), [
     ("You M0R0N!", "you moron!"), ("1d107", "idiot"), ("ID107", "idiot"), ("c0ckr0@ch3$", "cockroaches"), ("Ung3z13f3r", "ungeziefer"),
     ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idioooot", "idiot"), ("id*ot", "idiot"), ("白*痴", "白痴"), ("іdiоt", "idiot"),
-    ("12 of 34.5 rem", "0 of 0 rem"), ("", ""), ("B2B in 2024", "b0b in 0")])
+    ("12 of 34.5 rem", "0 of 0 rem"), ("", ""), ("B2B in 2024", "b0b in 0"), ("最低分为159分", "最低分为0分")])
 def test_undisguise(given, form):
     assert abuse.undisguise(given, LEX) == form
 
@@ -55,7 +55,7 @@ def test_ordinary_text_is_counted_over_all_documents(spark):
     for _, forms in docs:
         for form in (f for f in forms if f not in flagged):
             n += 1
-            for key in set(abuse.features([form])[0].tolist()):
+            for key in abuse.features([form])[0].tolist():
                 want[key] += named[key]
     count, seen = abuse.background(frames, named, flagged, {})
     assert seen == n == 2001
@@ -65,6 +65,26 @@ def test_ordinary_text_is_counted_over_all_documents(spark):
     assert all(0 <= t - longest <= 0.02 for t in top)
 
 
+def test_sums_are_those_of_the_features():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=(3, abuse.BUCKETS))
+    texts = ["", "a", "ab", "plain words", "外地人", "x" * 50]
+    key, whose = abuse.features(texts)
+    for i in range(len(texts)):
+        own = key[whose == i]
+        assert np.allclose(abuse.sums(texts, weights)[i], weights[:, own].sum(axis=1) / max(len(own), 1) ** 0.5, atol=1e-4)
+        assert abuse.occurrences([texts[i]]).sum() == len(own)
+
+
+def test_fillers_are_found_as_words():
+    known = abuse.Wordings()
+    known.fillers = dict.fromkeys(("rat", "rats", "sewer rat", "害虫"), "hateful")
+    find = known.finder()
+    text = "a rat, rats and a sewer rat in stratum; 全是害虫应该"
+    assert [text[a:b] for a, b in find(text)] == ["rat", "rats", "sewer rat", "害虫"]
+    assert abuse.Wordings().finder()(text) == []
+
+
 def test_every_learned_filler_counts(spark):
     """Forty fillers of one frame, of which a late one comes in a second frame."""
     fillers = [f"{a}{b}xon" for a in "abcdefgh" for b in "aeiou"]
