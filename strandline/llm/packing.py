@@ -6,9 +6,10 @@ counts: a table of at most ``capacity`` rows for each capacity, whatever the
 number of documents. Every step takes the largest size that is left and sweeps
 to its successors among the gaps, smallest first; all documents of the size and
 all containers of a gap are matched at once, and the gaps are updated before
-the next step. Which document gets which place is settled by rank: the sweep
+the next step. The sweeps of the capacities run in parallel, each in one task
+of the executors. Which document gets which place is settled by rank: the sweep
 gives each place a range of ranks within its size, and a document takes the
-place that its own rank falls into.
+place that its own rank falls into, by a join on size.
 
 Ranks are found without gathering a size in one task: documents are counted by
 size and bucket, the counts give each bucket its first rank, and only a bucket
@@ -19,6 +20,7 @@ fill containers of their own, and a rest that is packed; no other is cut.
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -44,21 +46,21 @@ def load_encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Longer texts are encoded in parts cut at spaces, as the tokenizer's own
-#: splitting does not reach over a line end.
-PART = 100_000
+#: Longer runs of white space are encoded by themselves; the pattern's
+#: look-ahead would fail on them.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def count_tokens(encoder, text: str) -> int:
-    if len(text) <= PART:
-        return len(encoder.encode_ordinary(text))
-    total, a = 0, 0
-    while a < len(text):
-        b = len(text) if a + PART >= len(text) else text.rfind(" ", a + 1, a + PART)
-        b = b if b > a else min(a + PART, len(text))
-        total += len(encoder.encode_ordinary(text[a:b]))
-        a = b
-    return total
+    """Tokens of the whole text. Where a long run of white space is taken out,
+    the pattern ends a piece anyway: at its start, and before its last character
+    if text follows."""
+    total = last = 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        total += len(encoder.encode_ordinary(text[last:m.start()])) + len(encoder._encode_single_piece(text[m.start():end]))
+        last = end
+    return total + len(encoder.encode_ordinary(text[last:]))
 
 
 def _counter(path: str):
@@ -167,28 +169,10 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _placer(shared):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {}
-        for container, rows in shared.value.items():
-            order = np.lexsort((rows[:, 1], rows[:, 0]))
-            rows = rows[order]
-            tables[container] = (rows[:, 0] * (1 << 40) + rows[:, 1], rows)
-        for pdf in batches:
-            bins = np.zeros(len(pdf), np.int64)
-            group, size, rank = (pdf[c].to_numpy() for c in ("container_id", "size", "rank"))
-            for container, (starts, rows) in tables.items():
-                mine = (group == container) & (size > 0)
-                if mine.any():
-                    hit = rows[np.searchsorted(starts, size[mine] * (1 << 40) + rank[mine], side="right") - 1]
-                    bins[mine] = hit[:, 3] + (rank[mine] - hit[:, 1]) // hit[:, 4]
-            if len(pdf):
-                yield pdf[["container_id", "doc_id", "piece", "first_token", "size"]].assign(bin=bins)
-
-    return work
-
-
-_OUT = "container_id long, doc_id long, piece int, first_token long, size long, bin long"
+def _sweep(key: tuple, sizes: pd.DataFrame) -> pd.DataFrame:
+    """The places of one capacity."""
+    places, _ = plan(dict(zip(sizes["size"].tolist(), sizes["n"].tolist(), strict=True)), int(key[1]))
+    return pd.DataFrame([(key[0], *p) for p in places], columns=["container_id", "size", "first", "ranks", "start", "each"])
 
 
 def assign(sized: DataFrame, containers: DataFrame) -> DataFrame:
@@ -197,21 +181,23 @@ def assign(sized: DataFrame, containers: DataFrame) -> DataFrame:
 
     ``containers`` is a parameter table with one row for each capacity; rows
     with a null or non-positive capacity are ignored. Documents without tokens go to bin 0.
-    Only counts by size, at most ``capacity`` of each, reach the driver.
+    Only the capacities reach the driver.
     """
-    spark = sized.sparkSession
     capacities = sorted((r[0], r[1]) for r in containers.where("container_id IS NOT NULL AND capacity_tokens > 0").groupBy("container_id").agg(F.max("capacity_tokens")).collect())
     if not capacities:
-        return spark.createDataFrame([], "container_id long, bin long, doc_id long, piece int, first_token long, n_tokens long")
+        return sized.sparkSession.createDataFrame([], "container_id long, bin long, doc_id long, piece int, first_token long, n_tokens long")
     pieces = _pieces(sized, capacities)
-    counted = pieces.groupBy("container_id", "capacity", "size").agg(F.count("*").alias("n")).toPandas()
-    tables = {}
-    for (container, capacity), rows in counted.groupby(["container_id", "capacity"]):
-        places, _ = plan(dict(zip(rows["size"].tolist(), rows["n"].tolist(), strict=True)), int(capacity))
-        tables[int(container)] = np.array(places, np.int64).reshape(-1, 5)
-    placed = _ranked(pieces).select("container_id", "doc_id", "piece", "first_token", "size", "rank").mapInPandas(
-        _placer(spark.sparkContext.broadcast(tables)), _OUT)
-    return placed.select("container_id", "bin", "doc_id", "piece", "first_token", F.col("size").alias("n_tokens"))
+    counted = pieces.groupBy("container_id", "capacity", "size").agg(F.count("*").alias("n"))
+    places = settle(counted.groupBy("container_id", "capacity").applyInPandas(
+        _sweep, "container_id long, size long, first long, ranks long, start long, each long"))
+    by_size = places.groupBy("container_id", "size").agg(F.sort_array(F.collect_list(F.struct("first", "start", "each"))).alias("places"))
+    mine = F.element_at(F.filter("places", lambda p: p["first"] <= F.col("rank")), -1)
+    return (
+        _ranked(pieces).join(by_size, ["container_id", "size"], "left").withColumn("place", mine)
+        .select(
+            "container_id", F.coalesce(F.col("place.start") + F.floor((F.col("rank") - F.col("place.first")) / F.col("place.each")).cast("long"), F.lit(0)).alias("bin"),
+            "doc_id", "piece", "first_token", F.col("size").alias("n_tokens"))
+    )
 
 
 def pack(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

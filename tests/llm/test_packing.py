@@ -46,11 +46,16 @@ def test_hot_size_is_ranked_in_buckets(spark, monkeypatch):
     assert out.groupBy("bin").count().where("count = 10").count() == 100
 
 
-@pytest.mark.parametrize("text", ["", "a b c", "word " * 60_000, "你好" * 3000])
+@pytest.mark.parametrize("text", [
+    "", "a b c", "word " * 60_000, "你好" * 3000, "ab" + " " * 30_000 + "cd", "ab" + "\n" * 20_000 + "cd", " " * 20_000, "x " + "\t " * 10_000, "qjxv" * 50_000])
 def test_tokens_of_long_texts(text):
     encoder = packing.load_encoder(packing.TOKENIZER)
-    got = packing.count_tokens(encoder, text)
-    assert got >= len(text) // 10 and (len(text) > packing.PART or got == len(encoder.encode_ordinary(text)))
+    assert packing.count_tokens(encoder, text) == len(encoder.encode_ordinary(text))
+
+
+def test_tokens_beyond_the_pattern():
+    encoder = packing.load_encoder(packing.TOKENIZER)
+    assert packing.count_tokens(encoder, "a" + " " * 1_500_000 + "b") > 1000
 
 
 def test_pack_of_nulls_and_repeats(spark):
