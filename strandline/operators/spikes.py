@@ -13,6 +13,11 @@ a third of all readings spreads over many tasks. In a stretch
   level shift agrees with the backcast, so it fails this test. Accepted blocks
   are replaced by the blend of both predictions and the tests are repeated
   until nothing new is found;
+* what is left is tested for level shifts: an innovation is one if the
+  readings after it hold the new level. Its size is estimated from these,
+  taken out, and the test repeated until nothing new is found. A shift that a
+  later one of the stretch takes back is a longer excursion, of any length;
+  the others are lasting changes of level;
 * readings impossible for the unit are flagged one by one;
 * runs of equal readings are measured. Runs that touch a stretch's border are
   joined to their neighbour by an equi-join on (source, stretch).
@@ -23,15 +28,17 @@ first that is ``RUN_JUMP`` times its predecessor ends the normal ones. Only
 distinct lengths, not runs, are gathered per source.
 
 Null readings are no cases and do not interrupt a run. A repeated reading (same
-id) counts once, the first loaded. Rows without id or source are ignored; rows
-without index form a stretch of their own, in order of time of loading.
+id) counts once, the first loaded. Rows without id or source are ignored. Rows
+without index get one of their own, in order of time, from counts by source and
+day, and form stretches of their own. A source of fewer than five readings has
+no movement to judge by: only impossible readings are flagged.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STRETCH = 4096
@@ -41,6 +48,15 @@ REACH = 3
 CUT = 6.5
 RUN_LEAST = 10
 RUN_JUMP = 2.2
+#: Readings that must hold a new level, and the share of the step they must keep.
+HOLD, KEPT = 8, 0.5
+#: How far the step back may differ from the step, as a share of it.
+BACK = 0.4
+#: The readings possible for a unit, and whether the ends are. A
+#: unit with None has the range of the source's own differences.
+LIMITS = {"price": (0.0, np.inf, False), "pct": (0.0, 100.0, True), "spread": None}
+#: Half-range beyond which a difference is impossible, in ranges from the tenth to the ninth tenth.
+SPREAD = 6
 #: Shorter runs cannot move the limit above ``RUN_LEAST``.
 RUN_KEPT = 5
 
@@ -118,10 +134,16 @@ def local_scale(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
 
 def excursions(x: np.ndarray, cut: float = CUT) -> np.ndarray:
     """Mask of readings in short excursions from the path of the series."""
+    return judge(x, cut)[0]
+
+
+def judge(x: np.ndarray, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks of readings in short excursions, of readings in longer ones, and
+    of the first readings of lasting changes of level."""
     n = len(x)
     found = np.zeros(n, bool)
     if n < 5:
-        return found
+        return found, found.copy(), found.copy()
     centre = median_filter(x, 3)
     rough = x - centre
     gross = np.abs(rough) > 8 * max(innovation_scale(rough), 1e-12)
@@ -130,7 +152,7 @@ def excursions(x: np.ndarray, cut: float = CUT) -> np.ndarray:
     scale = local_scale(clean, coef)
     wide = median_filter(clean, 10)
     y = x.copy()
-    for _ in range(12):
+    while True:
         ahead = forecasts(y, coef, REACH + 1)
         back = forecasts(y[::-1], coef, REACH)[:, ::-1]  # back[k, u]: y[u - k] out of y[u + 1..]
         best = np.zeros(n)
@@ -163,22 +185,65 @@ def excursions(x: np.ndarray, cut: float = CUT) -> np.ndarray:
             share = np.arange(1, k + 1) / (k + 1)
             y[t:t + k] = (1 - share) * ahead[:k, t] + share * back[:k, t + k - 1][::-1]
             found[t:t + k] = True
-    return found
+    longer, shifted = np.zeros(n, bool), np.zeros(n, bool)
+    open_steps: list[tuple[int, float]] = []
+    for t, size in level_shifts(y, coef, scale, cut):
+        taken_back = next((k for k in range(len(open_steps) - 1, -1, -1) if abs(open_steps[k][1] + size) <= BACK * abs(size)), None)
+        if taken_back is None:
+            open_steps.append((t, size))
+        else:
+            longer[open_steps[taken_back][0]:t] = True
+            del open_steps[taken_back:]
+    for t, _ in open_steps:
+        shifted[t] = True
+    return found, longer & ~found, shifted
+
+
+def level_shifts(y: np.ndarray, coef: np.ndarray, scale: np.ndarray, cut: float = CUT) -> list[tuple[int, float]]:
+    """Steps to a level that the readings after it hold: place and size, in
+    order of place."""
+    y, n = y.copy(), len(y)
+    out: dict[int, float] = {}
+    refused: set[int] = set()
+    while True:
+        ahead = forecasts(y, coef, HOLD)
+        far = np.abs(y - ahead[0]) / scale
+        far[:ORDER + 1] = 0
+        found = False
+        last = n
+        for t in np.flatnonzero(far > cut)[::-1].tolist():
+            m = min(HOLD, n - t)
+            if t in refused or m < HOLD or t + HOLD > last:
+                continue
+            steps = y[t:t + m] - ahead[:m, t]
+            size = float(np.median(steps))
+            if size == 0 or (steps * np.sign(size) < KEPT * abs(size)).any() or abs(size) < cut * scale[t] * KEPT:
+                refused.add(t)
+                continue
+            out[t] = out.get(t, 0.0) + size
+            refused.add(t)
+            y[t:] -= size
+            found, last = True, t
+        if not found:
+            return sorted(out.items())
+
+
 
 
 def impossible(x: np.ndarray, unit: str | None) -> np.ndarray:
     """Mask of readings no source of the unit can have."""
     bad = ~np.isfinite(x)
+    if unit not in LIMITS:
+        return bad
     with np.errstate(invalid="ignore"):
-        if unit == "price":
-            bad |= x <= 0
-        elif unit == "pct":
-            bad |= (x < 0) | (x > 100)
-        elif unit == "spread":
+        if LIMITS[unit] is not None:
+            low, high, ends = LIMITS[unit]
+            bad |= (x < low) | (x > high) if ends else (x <= low) | (x >= high)
+        else:
             fine = x[~bad]
             if len(fine) >= 20:
                 low, mid, high = np.quantile(fine, (0.1, 0.5, 0.9))
-                bad |= np.abs(x - mid) > 6 * max(high - low, 1e-9)
+                bad |= np.abs(x - mid) > SPREAD * max(high - low, 1e-9)
     return bad
 
 
@@ -195,51 +260,68 @@ def _stretch(key: tuple, part: pa.Table) -> pa.Table:
     x = column.to_numpy(zero_copy_only=False)[order][held]
     t, obs = t[held], obs[held]
     unit = part["unit"][0].as_py()
-    core = np.ones(len(t), bool) if stretch < 0 else (t // STRETCH) == stretch
+    core = (t // STRETCH) == (stretch if stretch >= 0 else -1 - stretch)
     rows: list[tuple] = []
     bad = impossible(x, unit)
     if bad.any():
         rows += [(name, stretch, "impossible", None, 1, False, False, [i]) for i in obs[bad & core].tolist()]
     t, x, obs, core = t[~bad], x[~bad], obs[~bad], core[~bad]
     if core.any():
-        odd = excursions(x) & core
-        rows += [(name, stretch, "spike", None, 1, False, False, [i]) for i in obs[odd].tolist()]
+        for reason, mask in zip(("spike", "excursion", "level shift"), judge(x), strict=True):
+            rows += [(name, stretch, reason, None, 1, False, False, [i]) for i in obs[mask & core].tolist()]
         at = np.flatnonzero(core)
         v, o = x[at[0]:at[-1] + 1], obs[at[0]:at[-1] + 1]
         ends = np.concatenate((np.flatnonzero(v[1:] != v[:-1]), [len(v) - 1]))
         begins = np.concatenate(([0], ends[:-1] + 1))
         for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-            left, right = a == 0 and stretch > 0, b == len(v) - 1 and stretch >= 0
+            left, right = a == 0 and stretch not in (0, -1), b == len(v) - 1
             if b - a + 1 >= RUN_KEPT or left or right:
                 rows.append((name, stretch, "run", float(v[a]), b - a + 1, left, right, o[a:b + 1].tolist()))
     return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(_OUT), schema=_OUT)
 
 
 def _pieces(series: DataFrame) -> DataFrame:
-    """Findings and runs of every stretch of every source."""
+    """Findings and runs of every stretch of every source. Stretches of readings
+    that came without index are numbered from -1 downwards."""
     last = STRETCH - MARGIN
+    held = series.where(F.col("obs_id").isNotNull() & F.col("name").isNotNull()).select(
+        F.col("obs_id").cast("long").alias("obs_id"), "name", "unit", F.col("close_value").cast("double").alias("value"),
+        F.unix_micros(F.coalesce("ingested_at", F.timestamp_micros(F.lit(0)))).alias("loaded"), "ts", F.col("t").cast("long").alias("t"))
+    indexed = held.where("t >= 0").drop("ts").withColumn("own", F.lit(False)).unionByName(
+        _index(held.where("t IS NULL OR t < 0")).withColumn("own", F.lit(True)))
     t, here = F.col("t"), F.floor(F.col("t") / STRETCH).cast("long")
-    stretches = F.when(t.isNull() | (t < 0), F.array(F.lit(-1).cast("long"))).otherwise(F.array_compact(F.array(
+    stretches = F.array_compact(F.array(
         here,
         F.when((t % STRETCH < MARGIN) & (here > 0), here - 1),
         F.when(t % STRETCH >= last, here + 1),
-    )))
+    ))
     cut = (
-        series.where(F.col("obs_id").isNotNull() & F.col("name").isNotNull())
-        .select(
-            F.col("obs_id").cast("long").alias("obs_id"), "name", "unit", F.col("close_value").cast("double").alias("value"),
-            F.unix_micros(F.coalesce("ingested_at", F.timestamp_micros(F.lit(0)))).alias("loaded"),
-            F.explode(stretches).alias("stretch"), F.coalesce(t.cast("long"), F.lit(-1)).alias("t"),
-        )
+        indexed.select("obs_id", "name", "unit", "value", "loaded", "t", "own", F.explode(stretches).alias("stretch"))
+        .withColumn("stretch", F.when(F.col("own"), -1 - F.col("stretch")).otherwise(F.col("stretch"))).drop("own")
     )
     return cut.groupBy("name", "stretch").applyInArrow(_stretch, _OUT_SQL)
 
 
+def _index(readings: DataFrame) -> DataFrame:
+    """A dense index ``t`` in order of time for each source: ranks within a day
+    on top of the counts of the days before. Repeats of a reading share one."""
+    keys = ["name", "day"]
+    days = readings.withColumn("day", F.to_date("ts")).groupBy(*keys, "obs_id").agg(
+        F.min("ts").alias("ts"), F.collect_list(F.struct("unit", "value", "loaded")).alias("rows"))
+    before = Window.partitionBy("name").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days.groupBy(*keys).agg(F.count("*").alias("k")).withColumn("offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    offsets = offsets.select(F.col("name").alias("o_name"), F.col("day").alias("o_day"), "offset")
+    ranked = days.withColumn("own", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "obs_id")) - 1)
+    joined = ranked.join(offsets, (F.col("name") == F.col("o_name")) & F.col("day").eqNullSafe(F.col("o_day"))).select(
+        "obs_id", "name", (F.col("own") + F.col("offset")).cast("long").alias("t"), F.explode("rows").alias("r"))
+    return joined.select("obs_id", "name", "r.unit", "r.value", "r.loaded", "t")
+
+
 def _joined_runs(runs: DataFrame) -> DataFrame:
     """Runs with the part beyond the border of their stretch counted in."""
     edge = lambda side, name, step: (
         runs.where(side).select(
-            "name", (F.col("stretch") + step).alias("stretch"), F.col("value"), F.col("length").alias(name))
+            "name", (F.col("stretch") + F.when(F.col("stretch") < 0, -step).otherwise(step)).alias("stretch"), F.col("value"), F.col("length").alias(name))
     )
     inner = runs.where(~F.col("left") & ~F.col("right")).select("name", "length", F.lit(True).alias("opens"), "ids")
     border = (
@@ -271,8 +353,10 @@ def _run_limits(runs: DataFrame) -> DataFrame:
 def flag_readings(series: DataFrame) -> DataFrame:
     """Implausible readings with their reason: ``obs_id, name, reason``.
 
-    ``reason`` is ``impossible``, ``spike`` or ``frozen``; a reading may have
-    more than one.
+    ``reason`` is ``impossible``, ``spike`` (at most ``REACH`` readings),
+    ``frozen``, or, where the series itself may have moved, ``excursion`` (a
+    longer one) or ``level shift`` (the first reading of a lasting change); a
+    reading may have more than one.
     """
     from strandline.session import settle
 

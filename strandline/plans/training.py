@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.operators import nested, packed, spikes, timestamps
 from strandline.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings their own source could not have produced."""
-    return spikes.flag_readings(table(spark, sf_dir, "series")).select("obs_id").distinct()
+    """Readings their own source could not have produced. Longer excursions and
+    changes of level are no cases; ``p1_reasons`` has them."""
+    found = spikes.flag_readings(table(spark, sf_dir, "series"))
+    return found.where(F.col("reason").isin("spike", "frozen", "impossible")).select("obs_id").distinct()
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

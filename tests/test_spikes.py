@@ -32,6 +32,36 @@ def test_spikes_shift_and_limits(spark):
     got = found(series(spark, data))
     assert {i for i, r in got if r == "spike"} == {100, 150, 151, 152}
     assert {i for i, r in got if r == "impossible"} == {250, 260}
+    assert {i for i, r in got if r == "level shift"} == {200}
+
+
+def test_longer_excursions_and_shifts_by_themselves():
+    for length in (4, 5, 8, 40):
+        v = walk(600, 11)
+        v[200:200 + length] += 60
+        v[450:] -= 50
+        short, longer, shifted = spikes.judge(v)
+        assert not short.any() or length == 4
+        assert set(np.flatnonzero(short | longer)) == set(range(200, 200 + length)) or length < spikes.HOLD
+        assert list(np.flatnonzero(shifted)) == [450]
+
+
+def test_many_spikes_need_many_rounds():
+    v = walk(4000, 2)
+    at = np.arange(20, 3980, 12)
+    v[at] += 45 * np.where(at % 24 < 12, 1, -1)
+    assert spikes.excursions(v)[at].mean() > 0.98
+
+
+def test_readings_without_index_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "STRETCH", 512)
+    v = walk(1500, 9)
+    v[300] += 60
+    v[1018:1032] = v[1018]
+    df = series(spark, v).drop("t").selectExpr("*", "CAST(NULL AS BIGINT) AS t")
+    got = found(df.unionByName(df))
+    assert {i for i, r in got if r == "spike"} == {300}
+    assert {i for i, r in got if r == "frozen"} == set(range(1019, 1032))
 
 
 def test_frozen_run_over_a_border(spark):
