@@ -14,6 +14,10 @@ Shapes that vary are read as they come, by the text of a node:
 * a string holding JSON counts as what it holds;
 * null, a missing key and the empty string are an empty list;
 * text that is no complete JSON document yields no rows.
+
+A list whose elements are all objects, the usual shape, is parsed once: its
+elements' key and the list below come out of one typed reading. Anything else
+is read element by element.
 """
 
 from __future__ import annotations
@@ -29,6 +33,11 @@ ROW = (
 OUT = ("origin", "root_id", "child_kind", "parent_pos", "pos", "item_key")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_map(node: Column) -> Column:
     """Members of an object as raw text; null for anything else."""
     return F.from_json(node, "map<string,string>")
@@ -86,7 +95,8 @@ class Child:
 
 
 def _find(node: Column, paths: tuple[tuple[str, ...], ...]) -> Column:
-    return F.coalesce(*(member(node, *p) for p in paths))
+    """The first path that leads somewhere; the node itself is parsed once."""
+    return let(as_map(node), lambda m: F.coalesce(*(member(F.element_at(m, F.lit(p[0])), *p[1:]) for p in paths)))
 
 
 def _row(kind: str, parent: Column, pos: Column, key: Column) -> Column:
@@ -115,16 +125,41 @@ def _rows(node: Column, spec: Child, parent: Column) -> Column:
             F.when(text.startswith("["), listed).when(text.startswith("{"), mapped),
             F.array().cast(ROW),
         )
-    pairs = F.transform(as_list(node), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
-    pairs = F.filter(pairs, lambda s: s["e"].isNotNull())
-    own = F.transform(
-        pairs,
-        lambda s: _row(spec.kind, parent, s["i"] if spec.positioned else none, _key(s["e"], spec)),
-    )
+    return let(F.trim(node), lambda text: let(
+        _typed(text, spec),
+        lambda typed: F.when(
+            typed.isNotNull() & F.forall(typed, lambda e: e.isNotNull()),
+            _linked(F.transform(typed, lambda e, i: F.struct(i.alias("i"), e["k"].alias("k"), e["b"].alias("b"))), spec, parent),
+        ).otherwise(_linked(_by_element(text, spec), spec, parent))))
+
+
+_ELEMENT = "struct<k:string,b:string>"
+
+
+def _typed(text: Column, spec: Child) -> Column:
+    """Key and lower list of all elements, null or with nulls if one is no object."""
+    below = spec.below.paths[0][0] if spec.below and all(len(p) == 1 for p in spec.below.paths) and len(spec.below.paths) == 1 else None
+    if spec.below is not None and below is None:
+        return F.lit(None).cast(f"array<{_ELEMENT}>")
+    fields = f"`{spec.key}`:string" + (f",`{below}`:string" if below else "")
+    read = F.when(text.startswith("["), F.from_json(text, f"array<struct<{fields}>>"))
+    return F.transform(read, lambda e: F.when(e.isNotNull(), F.struct(
+        e[spec.key].alias("k"), (e[below] if below else F.lit(None).cast("string")).alias("b"))))
+
+
+def _by_element(text: Column, spec: Child) -> Column:
+    """Place, key and lower list of the elements of a node of any shape."""
+    pairs = F.filter(F.transform(as_list(text), lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda s: s["e"].isNotNull())
+    return F.transform(pairs, lambda s: F.struct(
+        s["i"].alias("i"), _key(s["e"], spec).alias("k"),
+        (_find(s["e"], spec.below.paths) if spec.below else F.lit(None).cast("string")).alias("b")))
+
+
+def _linked(elements: Column, spec: Child, parent: Column) -> Column:
+    own = F.transform(elements, lambda s: _row(spec.kind, parent, s["i"] if spec.positioned else F.lit(-1), s["k"]))
     if spec.below is None:
         return own
-    below = F.flatten(F.transform(pairs, lambda s: _rows(_find(s["e"], spec.below.paths), spec.below, s["i"])))
-    return F.concat(own, below)
+    return F.concat(own, F.flatten(F.transform(elements, lambda s: _rows(s["b"], spec.below, s["i"]))))
 
 
 def unnest(df: DataFrame, origin: str, id_col: str, json_col: str, specs: list[Child]) -> DataFrame:
