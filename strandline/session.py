@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by the cluster.
 
-    A folder of our own is made only where the session names none (tests and
-    single-machine runs).
+    A folder of our own is made only where the session names none and runs on
+    one machine, as tests do. On a cluster there must be one: executors would
+    write to disks of their own, where nobody else could read.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="strandline-")
     spark.sparkContext.setCheckpointDir(made)
     return made
