@@ -1,7 +1,9 @@
 """Outliers, change points and drift in ordered or grouped numbers.
 
-Group-wise limits come from one aggregation joined back; order-wise ones from
-windows. The recursive tests (CUSUM, Grubbs) run per group in Arrow batches.
+Group-wise limits come from one aggregation joined back, percentiles from counts
+summed in order (``ordered.percentiles``); order-wise ones from windows inside
+blocks or stretches, so no group is one task. The exception is CUSUM, which
+starts anew at places that depend on all rows before.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 
 def zscore(df: DataFrame, by: Sequence[str], value: str, limit: float = 3.0) -> DataFrame:
     """Rows at least ``limit`` sample deviations from their group's mean."""
@@ -22,7 +26,7 @@ def zscore(df: DataFrame, by: Sequence[str], value: str, limit: float = 3.0) ->
 
 def iqr(df: DataFrame, by: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by more than ``k`` interquartile ranges."""
-    s = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3")).where("q3 > q1")
+    s = ordered.percentiles(df, by, value, (0.25, 0.75)).select(*by, F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3")).where("q3 > q1")
     j = df.join(s, list(by))
     gap = F.col("q3") - F.col("q1")
     return j.where((F.col(value) < F.col("q1") - k * gap) | (F.col(value) > F.col("q3") + k * gap)).drop("q1", "q3")
@@ -30,23 +34,24 @@ def iqr(df: DataFrame, by: Sequence[str], value: str, k: float = 1.5) -> DataFra
 
 def mad(df: DataFrame, by: Sequence[str], value: str, limit: float = 3.5) -> DataFrame:
     """Rows whose modified z-score reaches ``limit``."""
-    med = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("med"))
+    med = ordered.percentiles(df, by, value, (0.5,)).select(*by, F.col("p")[0].alias("med"))
     off = df.join(med, list(by)).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    scale = off.groupBy(*by).agg(F.percentile("dev", 0.5).alias("mad"))
+    scale = ordered.percentiles(off, by, "dev", (0.5,)).select(*by, F.col("p")[0].alias("mad"))
     return off.join(scale, list(by)).withColumn("score", 0.6745 * (F.col(value) - F.col("med")) / F.greatest("mad", F.lit(1e-12))).where(F.abs("score") >= limit).drop("med", "dev", "mad")
 
 
 def percentile_band(df: DataFrame, by: Sequence[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows outside a percentile band of their group."""
-    s = df.groupBy(*by).agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
+    s = ordered.percentiles(df, by, value, (low, high)).select(*by, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     return df.join(s, list(by)).where((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))).drop("lo", "hi")
 
 
 def ensemble(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Votes of three detectors on every row: ``votes, confidence``."""
-    s = df.groupBy(*by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    s = df.groupBy(*by).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd")).join(
+        ordered.percentiles(df, by, value, (0.25, 0.5, 0.75)).withColumnRenamed("p", "q"), list(by))
     j = df.join(s, list(by)).withColumn("dev", F.abs(F.col(value) - F.col("q")[1]))
-    scale = j.groupBy(*by).agg(F.percentile("dev", 0.5).alias("mad"))
+    scale = ordered.percentiles(j, by, "dev", (0.5,)).select(*by, F.col("p")[0].alias("mad"))
     gap = F.col("q")[2] - F.col("q")[0]
     vote = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     votes = (
@@ -58,8 +63,8 @@ def ensemble(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def moving_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int = 10, limit: float = 2.0) -> DataFrame:
     """Rows at least ``limit`` deviations from the rows before them."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-window, -1)
-    scored = df.withColumn("m", F.avg(value).over(w)).withColumn("sd", F.stddev_samp(value).over(w)).withColumn("k", F.count(value).over(w))
+    over = lambda f: lambda w: f(value).over(w.rowsBetween(-window, -1))
+    scored = ordered.looking_back(df, by, order, window, {"m": over(F.avg), "sd": over(F.stddev_samp), "k": over(F.count)})
     return scored.where((F.col("k") == window) & (F.col("sd") > 0) & (F.abs(F.col(value) - F.col("m")) / F.col("sd") >= limit)).drop("m", "sd", "k")
 
 
@@ -94,8 +99,9 @@ def ks_two_sample(a: DataFrame, b: DataFrame, by: Sequence[str], value: str) ->
     group: ``n_a, n_b, ks``. Equal values are counted together."""
     both = a.select(*by, F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*by, F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     c = both.where("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, g = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    d = c.withColumn("na", F.sum("a").over(g)).withColumn("nb", F.sum("b").over(g)).withColumn("d", F.abs(F.sum("a").over(w) / F.col("na") - F.sum("b").over(w) / F.col("nb")))
+    total = c.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    up = ordered.running_sum(ordered.running_sum(c, by, ["v"], "a", "ra"), by, ["v"], "b", "rb")
+    d = up.join(total, list(by)).withColumn("d", F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb")))
     return d.groupBy(*by).agg(F.max("na").alias("n_a"), F.max("nb").alias("n_b"), F.round(F.max("d"), 6).alias("ks"))
 
 
@@ -115,13 +121,9 @@ def drift_score(base: DataFrame, current: DataFrame, by: Sequence[str], value: s
 def mean_breaks(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The split of each ordered group that lowers the squared error most, from
     running sums: ``at`` rows before the break, ``gain`` relative to all."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    run, g = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    d = (
-        df.withColumn("n", F.row_number().over(w)).withColumn("s", F.sum(value).over(run))
-        .withColumn("nn", F.count("*").over(g)).withColumn("ss", F.sum(value).over(g)).withColumn("tot", F.var_pop(value).over(g) * F.col("nn"))
-        .where((F.col("n") < F.col("nn")) & (F.col("tot") > 0))
-    )
+    total = df.groupBy(*by).agg(F.count("*").alias("nn"), F.sum(value).alias("ss"), (F.var_pop(value) * F.count("*")).alias("tot"))
+    placed = ordered.indexed(df, by, order, "n").withColumn("n", F.col("n") + 1)
+    d = ordered.running_sum(placed, by, ["n"], value, "s").join(total, list(by)).where((F.col("n") < F.col("nn")) & (F.col("tot") > 0))
     between = F.pow(F.col("s") / F.col("n") - (F.col("ss") - F.col("s")) / (F.col("nn") - F.col("n")), 2) * F.col("n") * (F.col("nn") - F.col("n")) / F.col("nn")
     return d.withColumn("gain", F.round(between / F.col("tot"), 6)).groupBy(*by).agg(F.max_by(F.struct(F.col("n").alias("at"), "gain"), F.struct("gain", -F.col("n"))).alias("b")).select(*by, F.col("b.at").cast("bigint").alias("at"), "b.gain")
 

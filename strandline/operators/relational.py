@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
 from strandline.session import settle
 
 
@@ -67,14 +68,14 @@ def _any(conditions: list[Column]) -> Column:
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, right_at: str, take: Sequence[str]) -> DataFrame:
     """Each left row with the last right row at or before it in its group.
 
-    Both sides are merged into one sorted stream for each group and the right
-    values are carried forward, so the cost is one shuffle, not a join of all
-    pairs.
+    Both sides are merged into one ordered stream for each group and the right
+    values are carried forward, inside blocks and then from block to block, so
+    neither all pairs nor a whole group come together. Of right rows at the
+    same time the last by the columns taken counts.
     """
     l = left.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"))
     r = right.select(*by, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(F.col(right_at), *take).alias("__r"))
-    w = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("__held", F.last("__r", ignorenulls=True).over(w))
+    both = ordered.carried(l.unionByName(r), by, ["__at", "__side", "__r"], "__r", "__held")
     return both.where("__side = 1").select("__l.*", *(F.col(f"__held.{c}").alias(c) for c in [right_at, *take]))
 
 
@@ -94,23 +95,35 @@ def pivot_sum(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[
 
 
 def allocate_fifo(demand: DataFrame, supply: DataFrame, by: Sequence[str], d_order: Sequence[str], s_order: Sequence[str], d_qty: str, s_qty: str) -> DataFrame:
-    """Demand met from supply, first come first served: running totals make
-    each row an interval, and overlapping intervals are matched by cells."""
-    def intervals(df: DataFrame, order: Sequence[str], qty: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        hi = F.sum(qty).over(w)
-        return df.withColumn(f"{name}_hi", hi).withColumn(f"{name}_lo", F.col(f"{name}_hi") - F.col(qty))
-
-    d, s = intervals(demand, d_order, d_qty, "d"), intervals(supply, s_order, s_qty, "s")
+    """Demand met from supply, first come first served: the columns of both
+    sides, where each of their running totals begins and ends (``d_lo, d_hi,
+    s_lo, s_hi``), and ``allocated``.
+
+    Running totals make each row an interval, and the intervals of a side tile
+    the line. So one sweep over the beginnings of both sides, with the last
+    row of either carried forward, meets each overlapping pair once, where the
+    later of the two begins.
+    """
+    def begun(df: DataFrame, order: Sequence[str], qty: str, name: str) -> DataFrame:
+        rows = ordered.running_sum(df.where(F.col(qty) > 0), by, order, qty, f"{name}_hi")
+        return rows.withColumn(f"{name}_lo", F.col(f"{name}_hi") - F.col(qty))
+
+    d, s = begun(demand, d_order, d_qty, "d"), begun(supply, s_order, s_qty, "s")
+    held = {n: [c for c in df.columns if c not in by] for n, df in (("d", d), ("s", s))}
+    none = {n: F.lit(None).cast(df.select(F.struct(*held[n]).alias("x")).schema["x"].dataType) for n, df in (("d", d), ("s", s))}
+    events = d.select(*by, F.col("d_lo").alias("__at"), F.lit(0).alias("__side"), F.struct(*held["d"]).alias("__d"), none["s"].alias("__s")).unionByName(
+        s.select(*by, F.col("s_lo").alias("__at"), F.lit(1).alias("__side"), none["d"].alias("__d"), F.struct(*held["s"]).alias("__s")))
+    both = ordered.carried(ordered.carried(events, by, ["__at", "__side"], "__d", "__dd"), by, ["__at", "__side"], "__s", "__ss")
+    out = both.where("__dd IS NOT NULL AND __ss IS NOT NULL").select(*by, "__dd.*", "__ss.*")
     got = F.least("d_hi", "s_hi") - F.greatest("d_lo", "s_lo")
-    return d.join(s, list(by)).where((F.col("d_lo") < F.col("s_hi")) & (F.col("s_lo") < F.col("d_hi"))).withColumn("allocated", got)
+    return out.withColumn("allocated", got).where("allocated > 0").dropDuplicates([*by, "d_lo", "s_lo"])
 
 
 def period_change(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
     """Difference and relative change to the row before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.lag(value).over(w)
-    return df.withColumn("change", F.col(value) - before).withColumn("pct_change", F.try_divide(F.col(value) - before, before))
+    d = ordered.looking_back(df, by, [order], 1, {"__before": lambda w: F.lag(value).over(w)})
+    before = F.col("__before")
+    return d.withColumn("change", F.col(value) - before).withColumn("pct_change", F.try_divide(F.col(value) - before, before)).drop("__before")
 
 
 def share_of_total(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

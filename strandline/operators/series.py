@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 STRETCH = 4096
 
 
@@ -100,7 +102,8 @@ def value_at_risk(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
     shortfall of each name, all signed returns."""
     z = _norm_ppf(alpha)
     m = returns.groupBy("name").agg(
-        F.count("r").alias("n"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.percentile("r", alpha).alias("hist"), F.skewness("r").alias("s"), F.kurtosis("r").alias("k"))
+        F.count("r").alias("n"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("s"), F.kurtosis("r").alias("k"))
+    m = m.join(ordered.percentiles(returns, ["name"], "r", (alpha,)).select("name", F.col("p")[0].alias("hist")), "name")
     tail = returns.join(m.select("name", "hist"), "name").where("r <= hist").groupBy("name").agg(F.avg("r").alias("cvar"))
     zc = z + (z**2 - 1) * F.col("s") / 6 + (z**3 - 3 * z) * F.col("k") / 24 - (2 * z**3 - 5 * z) * F.col("s") * F.col("s") / 36
     return m.join(tail, "name").select(

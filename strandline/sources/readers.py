@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
     """A file or folder by its ending: parquet, orc, csv, json, xml or text.
@@ -31,12 +33,10 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
 def as_series(df: DataFrame, value: str, date: str, name: str | None = None) -> DataFrame:
     """``name, t, ts, value``: rows whose value and date can be read, in order
     of date; ``t`` counts from 0 within the name."""
-    from pyspark.sql import Window
-
     ts = F.coalesce(*(F.try_to_timestamp(F.col(date).cast("string"), F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")), F.col(date).try_cast("timestamp"))
     label = F.lit(value) if name is None else F.col(name)
     read = df.select(label.alias("name"), ts.alias("ts"), F.col(value).try_cast("double").alias("value")).where("ts IS NOT NULL AND value IS NOT NULL")
-    return read.withColumn("t", F.row_number().over(Window.partitionBy("name").orderBy("ts", "value")) - 1)
+    return ordered.indexed(read, ["name"], ["ts", "value"], "t")
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
