@@ -108,12 +108,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def depths(edges: DataFrame, starts: DataFrame, limit: int = 50) -> DataFrame:
+def depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``id, depth``: links from the nearest start, level by level."""
     edges = settle(simple_edges(edges))
     seen = settle(starts.select("id", F.lit(0).alias("depth")).distinct())
-    front = seen
-    for d in range(1, limit + 1):
+    front, d = seen, 0
+    while True:
+        d += 1
         found = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
         front = settle(found)
         if front.isEmpty():
@@ -138,13 +139,15 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("t", F.lit(0)).alias("triangles"), F.round(F.coalesce(F.try_divide(F.coalesce("t", F.lit(0)), pairs), F.lit(0.0)), 6).alias("coefficient"))
 
 
-def cascade(nodes: DataFrame, edges: DataFrame, failed: DataFrame, threshold: float = 0.3, limit: int = 50) -> DataFrame:
+def cascade(nodes: DataFrame, edges: DataFrame, failed: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``id, round`` at which a node fails: once the share of failed among its
     in-neighbours reaches ``threshold``; the first fail at round 0."""
     edges = settle(simple_edges(edges))
     need = edges.groupBy("dst").agg(F.count("*").alias("k"))
     down = settle(failed.select("id", F.lit(0).alias("round")).distinct())
-    for r in range(1, limit + 1):
+    r = 0
+    while True:
+        r += 1
         hit = edges.join(down.select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("f")).join(need, "dst")
         new = settle(hit.where(F.col("f") / F.col("k") >= threshold).select(F.col("dst").alias("id")).join(down.select("id"), "id", "left_anti").withColumn("round", F.lit(r)))
         if new.isEmpty():
@@ -153,35 +156,37 @@ def cascade(nodes: DataFrame, edges: DataFrame, failed: DataFrame, threshold: fl
     return down
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, level`` by peeling nodes without open predecessors; nodes on or
     behind a cycle have none."""
     left = settle(simple_edges(edges))
     open_nodes, done, level = settle(nodes.select("id").distinct()), None, 0
-    while level < limit:
+    while True:
         free = settle(open_nodes.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
+        done = settle(done) if level % CUT_EVERY == CUT_EVERY - 1 else done
         open_nodes = settle(open_nodes.join(free.select("id"), "id", "left_anti"))
         left = settle(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
     return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, closeness``: reached nodes over the sum of distances, both ways
     along edges; 0 for isolated nodes. The state has a row for each connected
     pair, so it is for graphs of a bounded number of nodes."""
     e = settle(both_ways(edges))
     seen = settle(nodes.select(F.col("id").alias("root"), "id").withColumn("d", F.lit(0)))
-    front = seen
-    for d in range(1, limit + 1):
+    front, d = seen, 0
+    while True:
+        d += 1
         new = e.join(front.select("root", F.col("id").alias("src")), "src").select("root", F.col("dst").alias("id")).distinct()
         front = settle(new.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("d", F.lit(d)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = settle(seen.unionByName(front)) if d % CUT_EVERY == 0 else seen.unionByName(front)
     return seen.groupBy(F.col("root").alias("id")).agg(F.round(F.coalesce(F.try_divide(F.count("*") - 1, F.sum("d")), F.lit(0.0)), 6).alias("closeness"))
 
 

@@ -42,15 +42,19 @@ def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_tables(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, 'title' AS name, regexp_extract(html,'<title>(.*?)</title>',1) AS content FROM pages WHERE page_id IS NOT NULL AND html LIKE '%<title>%' AND NOT contains(regexp_extract(html,'<title>(.*?)</title>',1),'&') AND regexp_extract(html,'<title>(.*?)</title>',1) NOT LIKE ' %'")
+_RAW = "string_split(regexp_extract(html,'<title>(.*?)</title>',1),'&#')"
+_CODE = "CASE WHEN p LIKE 'x%' THEN '0' || regexp_extract(p,'^(x[0-9a-fA-F]+);',1) ELSE regexp_extract(p,'^([0-9]+);',1) END"
+_TITLE = f"array_to_string(list_transform({_RAW}, lambda p, i: CASE WHEN i=1 THEN p ELSE chr(CAST({_CODE} AS INTEGER)) || regexp_replace(p,'^x?[0-9a-fA-F]+;','') END),'')"
+_NAMED = dict(zip(
+    "quot lt gt nbsp eacute egrave ecirc agrave acirc ccedil icirc iuml ocirc ucirc ugrave auml ouml uuml Auml Ouml Uuml szlig aacute iacute oacute uacute ntilde Eacute Agrave mdash ndash hellip rsquo amp".split(),
+    '"<>\u00a0éèêàâçîïôûùäöüÄÖÜßáíóúñÉÀ—–…’&', strict=True))
+for _name, _char in _NAMED.items():
+    _name = f"&{_name};"
+    _TITLE = f"replace({_TITLE},'{_name}','{_char}')"
+
+
+@query(f"SELECT page_id, 'title' AS name, trim({_TITLE}) AS content FROM pages WHERE page_id IS NOT NULL AND html LIKE '%<title>%'")
 def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of pages whose title holds no entity."""
-    raw = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    return X.page_metadata(table(spark, sf_dir, "pages").where(F.col("html").contains("<title>") & ~raw.contains("&") & ~raw.startswith(" "))).where("name = 'title'")
-
-
-@query()
-def extract_metadata_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metadata entry of every page."""
     return X.page_metadata(table(spark, sf_dir, "pages"))
 

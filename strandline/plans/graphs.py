@@ -14,15 +14,15 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 query = registry(QUERIES, ORACLE)
 
-_E = """e AS (SELECT DISTINCT 'n' || s_nationkey AS src, 'n' || c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey WHERE l_returnflag='R' AND s_nationkey<>c_nationkey AND l_extendedprice>85000),
+_E = """e AS (SELECT DISTINCT 'n' || s_nationkey AS src, 'n' || c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey WHERE s_nationkey<>c_nationkey),
  n AS (SELECT 'n' || n_nationkey AS id FROM nation)"""
 _L = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), n AS (SELECT DISTINCT src AS id FROM e UNION SELECT DISTINCT dst FROM e)"
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations, and dear returned deliveries between them."""
+    """Nations, and deliveries between them, from all lines."""
     l, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    j = l.where("l_returnflag = 'R' AND l_extendedprice > 85000").join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
     edges = j.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     return table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id")), G.simple_edges(edges)
 
@@ -58,7 +58,7 @@ def graph_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"WITH {_E}, k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), c AS (SELECT count(*) AS c FROM n), r0 AS (SELECT id, 1.0/c AS rank FROM n, c)"]
+    steps = [f"WITH {_L}, k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), c AS (SELECT count(*) AS c FROM n), r0 AS (SELECT id, 1.0/c AS rank FROM n, c)"]
     for i in range(rounds):
         steps.append(
             f"l{i} AS (SELECT coalesce(sum(rank),0.0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM k)), g{i} AS (SELECT dst AS id, sum(rank/k) AS got FROM e JOIN k USING(src) JOIN r{i} ON r{i}.id=e.src GROUP BY 1), "
@@ -68,11 +68,11 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(20))
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(*trade(spark, sf_dir)).withColumn("rank", rnd("rank", 8))
+    return G.pagerank(*links(spark, sf_dir)).withColumn("rank", rnd("rank", 8))
 
 
 def _hits_sql(rounds: int) -> str:
-    steps = [f"WITH {_E}, s0 AS (SELECT id, 1.0 AS hub, 1.0 AS authority FROM n)"]
+    steps = [f"WITH {_L}, s0 AS (SELECT id, 1.0 AS hub, 1.0 AS authority FROM n)"]
     for i in range(rounds):
         steps.append(
             f"x{i} AS (SELECT id, coalesce(a,0.0) AS a, coalesce(h,0.0) AS h FROM n LEFT JOIN (SELECT dst AS id, sum(hub) AS a FROM e JOIN s{i} ON id=src GROUP BY 1) USING(id) LEFT JOIN (SELECT src AS id, sum(authority) AS h FROM e JOIN s{i} ON id=dst GROUP BY 1) USING(id)), "
@@ -80,9 +80,9 @@ def _hits_sql(rounds: int) -> str:
     return ", ".join(steps) + f" SELECT id, round(hub,6) AS hub, round(authority,6) AS authority FROM s{rounds}"
 
 
-@query(_hits_sql(12))
+@query(_hits_sql(20))
 def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hits(*trade(spark, sf_dir), rounds=12).select("id", rnd("hub", 6).alias("hub"), rnd("authority", 6).alias("authority"))
+    return G.hits(*links(spark, sf_dir)).select("id", rnd("hub", 6).alias("hub"), rnd("authority", 6).alias("authority"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || student_id AS a, 'p' || province AS b FROM volunteers WHERE student_id IS NOT NULL AND province IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, seen) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a=r.seen)

@@ -235,15 +235,9 @@ def rel_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("SELECT o_orderpriority, list_sort(list(o_orderkey)) AS keys FROM orders WHERE o_totalprice > 450000 GROUP BY 1")
+@query("SELECT o_orderpriority, list_sort(list(o_orderkey)) AS keys FROM orders GROUP BY 1")
 def rel_group_to_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups as sorted lists."""
-    return table(spark, sf_dir, "orders").where("o_totalprice > 450000").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-
-
-@query()
-def rel_group_to_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as sorted lists by priority."""
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
 
 

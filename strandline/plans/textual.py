@@ -24,11 +24,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_CONTENT}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_CONTENT})  AS term FROM documents) GROUP BY 1")
 def text_word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content words with at least 20 occurrences."""
+    """Content words and the documents that hold them."""
     counts = S.term_counts(docs(spark, sf_dir), "doc_id", "text", T.content_tokens(F.col("text")))
-    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).where("n >= 20")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_CONTENT}) AS term FROM documents) GROUP BY 1,2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), z AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY 1), k AS (SELECT count(*) AS n_docs FROM documents),

@@ -363,7 +363,7 @@ def test_metadata_of_all_pages(spark, tmp_path):
 
     pages = [(1, "<head><title>Cats &amp; dogs</title><meta name='author' content='A &lt; B'></head>"), (2, "<title> Blank before</title>"), (3, "<p>none</p>"), (None, "<title>x</title>"), (4, None)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {(r.page_id, r.name, r.content.strip()) for r in plans.extract_metadata_all(spark, str(tmp_path)).collect()}
+    got = {(r.page_id, r.name, r.content.strip()) for r in plans.extract_metadata(spark, str(tmp_path)).collect()}
     assert got >= {(1, "title", "Cats & dogs"), (1, "author", "A < B"), (2, "title", "Blank before")}
     assert {k for k, _, _ in got} == {1, 2}
 
@@ -378,4 +378,4 @@ def test_whole_graph_and_all_orders(spark, tmp_path):
     assert {r.id for r in graphs.graph_orphans_all(spark, str(tmp_path)).collect()} == {"p1", "p2", "p3"}
     assert {r.id for r in graphs.graph_dead_ends_all(spark, str(tmp_path)).collect()} == {"s1", "s2", "s3"}
     assert {r.id: r.depth for r in graphs.graph_depths_all(spark, str(tmp_path)).collect()} == {"p1": 0, "s1": 1, "s2": 1, "p2": 2}
-    assert {r.o_orderpriority: r["keys"] for r in lists.rel_group_to_lists_all(spark, str(tmp_path)).collect()} == {"HIGH": [2, 5], "LOW": [9]}
+    assert {r.o_orderpriority: r["keys"] for r in lists.rel_group_to_lists(spark, str(tmp_path)).collect()} == {"HIGH": [2, 5], "LOW": [9]}
