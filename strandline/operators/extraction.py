@@ -143,6 +143,36 @@ def page_metadata(pages: DataFrame, key: str = "page_id", document: str = "html"
     return src.mapInPandas(work, "k long, name string, content string").withColumnRenamed("k", key)
 
 
+#: Rules that are tried on a page of unknown make.
+SUGGESTED = (
+    Rule("title", "css", "title"), Rule("description", "meta", "description"), Rule("heading", "css", "h1"), Rule("article", "css", "article"),
+    Rule("main", "css", "main"), Rule("links", "links", is_list=True), Rule("images", "images", is_list=True), Rule("tables", "table", is_list=True))
+#: Characters of a sample.
+SAMPLE = 100
+
+
+def suggest_rules(pages: DataFrame, key: str = "page_id", url: str = "url", document: str = "html") -> DataFrame:
+    """The rules of ``SUGGESTED`` that find something on a page: ``key, name,
+    method, selector, found, sample``, where ``sample`` is the beginning of the
+    first find."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, u, d in zip(pdf["k"], pdf["u"], pdf["d"], strict=True):
+                root = H.parse(d)
+                for rule in SUGGESTED:
+                    got = [str(v).strip() for v in apply_rule(rule, root, d, u or "")]
+                    got = [v for v in got if v]
+                    if got:
+                        rows.append((k, rule.name, rule.method, rule.selector, len(got), got[0][:SAMPLE]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "name", "method", "selector", "found", "sample"])
+
+    src = pages.where(F.col(key).isNotNull() & F.col(document).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.col(document).alias("d"))
+    return src.mapInPandas(work, "k long, name string, method string, selector string, found int, sample string").withColumnRenamed("k", key)
+
+
 # Marks of challenge pages, by kind and weight.
 CHALLENGES = (
     ("recaptcha", 3, r"g-recaptcha|recaptcha/api\.js"), ("hcaptcha", 3, r"h-captcha|hcaptcha\.com"), ("turnstile", 3, r"cf-turnstile|challenges\.cloudflare\.com"),

@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 from strandline.operators import series as S
 
 
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of the arrays ``a`` of all tasks, added up in the cluster place
+    by place; empty if there is none."""
+    rows = parts.select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(rows))
+    for i, v in rows:
+        out[i] = v
+    return out
+
+
 def cross_products(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, sums and cross products of columns, of rows without null."""
     names = list(columns)
@@ -28,17 +38,17 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarr
             a = pdf[names].dropna().to_numpy(float)
             n, s, x = n + len(a), s + a.sum(axis=0), x + a.T @ a
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "x": [x.ravel().tolist()]})
+            yield pd.DataFrame({"a": [[float(n), *s.tolist(), *x.ravel().tolist()]]})
 
-    parts = df.select(*names).mapInPandas(work, "n long, s array<double>, x array<double>").collect()
-    k = len(names)
-    if not parts:
+    a, k = _added(df.select(*names).mapInPandas(work, "a array<double>")), len(names)
+    if not len(a):
         return 0, np.zeros(k), np.zeros((k, k))
-    return sum(p.n for p in parts), np.sum([p.s for p in parts], axis=0), np.sum([p.x for p in parts], axis=0).reshape(k, k)
+    return int(a[0]), a[1:k + 1], a[k + 1:].reshape(k, k)
 
 
 def vector_moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance of a vector column; one matrix a task."""
+    """Rows, mean and covariance of a vector column; one matrix a task, added
+    up in the cluster."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, x = 0, None, None
@@ -47,13 +57,14 @@ def vector_moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndar
                 a = np.array(pdf["v"].tolist(), float)
                 s, x, n = (a.sum(axis=0), a.T @ a, len(a)) if s is None else (s + a.sum(axis=0), x + a.T @ a, n + len(a))
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "x": [x.ravel().tolist()]})
+            yield pd.DataFrame({"a": [[float(n), *s.tolist(), *x.ravel().tolist()]]})
 
-    parts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).mapInPandas(work, "n long, s array<double>, x array<double>").collect()
-    n = sum(p.n for p in parts)
-    s = np.sum([p.s for p in parts], axis=0)
-    mean = s / n
-    return n, mean, np.sum([p.x for p in parts], axis=0).reshape(len(s), len(s)) / n - np.outer(mean, mean)
+    a = _added(df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).mapInPandas(work, "a array<double>"))
+    if not len(a):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, k = int(a[0]), int((-1 + np.sqrt(4 * len(a) - 3)) / 2)
+    mean = a[1:k + 1] / n
+    return n, mean, a[k + 1:].reshape(k, k) / n - np.outer(mean, mean)
 
 
 def principal_components(df: DataFrame, key: str, column: str, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -95,11 +106,12 @@ def k_means(df: DataFrame, key: str, column: str, k: int, rounds: int = 10) -> D
                     at, _ = near(a, c)
                     np.add.at(total, at, a)
                     count += np.bincount(at, minlength=len(c))
-            yield pd.DataFrame({"count": [count.tolist()], "total": [total.ravel().tolist()]})
+            yield pd.DataFrame({"a": [[*count.tolist(), *total.ravel().tolist()]]})
 
-        parts = held.mapInPandas(sums, "count array<double>, total array<double>").collect()
-        count = np.sum([p["count"] for p in parts], axis=0)
-        total = np.sum([p.total for p in parts], axis=0).reshape(now.shape)
+        a = _added(held.mapInPandas(sums, "a array<double>"))
+        if not len(now):
+            break
+        count, total = a[:len(now)], a[len(now):].reshape(now.shape)
         centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], now)
         if np.allclose(centres, now, atol=1e-9):
             break
@@ -296,3 +308,55 @@ def simulate_paths(spark, paths: int, start: float, mu: float, sigma: float, yea
     their sum is drawn at once."""
     end = start * F.exp((mu - sigma**2 / 2) * years + sigma * math.sqrt(years) * F.randn(seed))
     return spark.range(paths).select(F.col("id").alias("path"), end.alias("value"))
+
+
+def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 50) -> list[tuple[float, float, list[float]]]:
+    """Return, deviation and weights of the portfolios of least variance at
+    ``points`` returns from that of least variance up to the largest mean,
+    weights free of sign and summing to one."""
+    inverse = np.linalg.pinv(cov + 1e-12 * np.trace(cov) / len(cov) * np.eye(len(cov)))
+    one = np.ones(len(mean))
+    a, b, c = one @ inverse @ one, one @ inverse @ mean, mean @ inverse @ mean
+    d = a * c - b * b
+    out = []
+    for target in np.linspace(b / a, max(float(mean.max()), b / a), points):
+        w = inverse @ (one * (c - b * target) + mean * (a * target - b)) / d if d > 1e-18 else inverse @ one / a
+        out.append((float(mean @ w), float(np.sqrt(max(w @ cov @ w, 0.0))), w.tolist()))
+    return out
+
+
+def market_line(mean: np.ndarray, cov: np.ndarray, free: float, points: int = 100) -> list[tuple[float, float]]:
+    """Deviation and return from the free rate through the tangent portfolio to
+    twice its deviation."""
+    w = maximum_sharpe(mean, cov, free)
+    top, spread = float(mean @ w), float(np.sqrt(max(w @ cov @ w, 1e-300)))
+    return [(float(x), float(free + (top - free) / spread * x)) for x in np.linspace(0, 2 * spread, points)]
+
+
+def partial_correlations(cov: np.ndarray) -> np.ndarray:
+    """Correlations of pairs with all others held, from the inverse."""
+    p = np.linalg.pinv(cov + 1e-12 * np.trace(cov) / len(cov) * np.eye(len(cov)))
+    s = np.sqrt(np.diag(p))
+    out = -p / np.outer(s, s)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def skeleton(corr: np.ndarray, n: int, limit: float = 1.96) -> list[tuple[int, int]]:
+    """Pairs that stay dependent given nothing and given any one other variable,
+    by Fisher's z against ``limit``."""
+    def z(r: float, held: int) -> float:
+        r = min(max(r, -0.999999999), 0.999999999)
+        return abs(np.arctanh(r)) * np.sqrt(max(n - held - 3, 0))
+
+    k, out = len(corr), []
+    for i in range(k):
+        for j in range(i + 1, k):
+            kept = z(corr[i, j], 0) > limit
+            for h in range(k):
+                if kept and h not in (i, j):
+                    r = (corr[i, j] - corr[i, h] * corr[j, h]) / np.sqrt(max((1 - corr[i, h] ** 2) * (1 - corr[j, h] ** 2), 1e-12))
+                    kept = z(r, 1) > limit
+            if kept:
+                out.append((i, j))
+    return out

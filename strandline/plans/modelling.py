@@ -76,6 +76,37 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r, n, round(float(w), 4)) for r, ws in rules.items() for n, w in zip(names, ws, strict=True)], "rule string, name string, weight double")
 
 
+@query()
+def portfolio_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least deviation by return, and the market line at no free rate."""
+    _, mean, cov = M.return_moments(_kinds(spark, sf_dir))
+    rows = [("frontier", i, round(d, 8), round(m, 8)) for i, (m, d, _) in enumerate(M.frontier(mean, cov))]
+    rows += [("market line", i, round(d, 8), round(m, 8)) for i, (d, m) in enumerate(M.market_line(mean, cov, 0.0))]
+    return spark.createDataFrame(rows, "line string, point int, deviation double, mean double")
+
+
+@query()
+def portfolio_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means after a view that the first kind gains a tenth, with their best and Kelly weights."""
+    names, mean, cov = M.return_moments(_kinds(spark, sf_dir))
+    after = M.black_litterman(mean, cov, {0: (float(mean[0]) * 1.1, 0.6)})
+    return spark.createDataFrame(
+        [(n, round(float(a), 8), round(float(b), 6), round(float(k), 6)) for n, a, b, k in zip(names, after, M.maximum_sharpe(after, cov), M.kelly_weights(after, cov, 0.5), strict=True)],
+        "name string, mean double, weight double, kelly double")
+
+
+@query()
+def graph_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial correlations of the kinds of events, and whether a link stays."""
+    r = _kinds(spark, sf_dir)
+    names, _, cov = M.return_moments(r)
+    sd = np.sqrt(np.diag(cov))
+    part, kept = M.partial_correlations(cov), set(M.skeleton(cov / np.outer(sd, sd), r.select("ts").distinct().count()))
+    return spark.createDataFrame(
+        [(names[i], names[j], round(float(part[i, j]), 6), (i, j) in kept) for i in range(len(names)) for j in range(i + 1, len(names))],
+        "a string, b string, partial double, linked boolean")
+
+
 @query()
 def portfolio_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum spanning tree of the kinds of events by correlation."""
