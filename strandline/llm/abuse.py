@@ -285,8 +285,11 @@ _BULLET = re.compile(r"^[\s>*#\u2022-]+")
 _HAN = re.compile("[\u4e00-\u9fff]")
 
 
+_BULLETS = frozenset(" \t>*#\u2022-")
+
+
 def bare(form: str) -> str:
-    return _BULLET.sub("", form)
+    return _BULLET.sub("", form) if form[:1] in _BULLETS else form
 
 
 def _is_filler(middle: str) -> bool:
@@ -351,7 +354,12 @@ class Wordings:
                     found.append((a, b))
             if len(found) > 1:
                 found = sorted(found, key=lambda f: (f[0], -f[1]))
-                found = [f for i, f in enumerate(found) if not i or f[0] >= max(g[1] for g in found[:i])]
+                kept, end = [], -1
+                for a, b in found:
+                    if a >= end:
+                        kept.append((a, b))
+                        end = b
+                found = kept
             return found
 
         return find
@@ -365,13 +373,18 @@ class Wordings:
         return out
 
 
-def _slots(form: str, edges: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[str, str]]:
+def _slots(form: str, edges: dict[str, list[tuple[str, str]]]) -> list[tuple[str, str]]:
     """Known frames that the sentence fits, with what fills them."""
-    for before, after in [*edges.get("<" + form[:5], ()), *edges.get(">" + form[-5:], ()), *edges.get("", ())]:
+    head, tail, short = edges.get("<" + form[:5]), edges.get(">" + form[-5:]), edges.get("")
+    if not (head or tail or short):
+        return []
+    out = []
+    for before, after in [*(head or ()), *(tail or ()), *(short or ())]:
         if len(form) > len(before) + len(after) and form.startswith(before) and form.endswith(after):
             middle = form[len(before):len(form) - len(after)]
             if _is_filler(middle):
-                yield before + SLOT + after, middle
+                out.append((before + SLOT + after, middle))
+    return out
 
 
 def _forms(lexicon: dict[int, set[str]]):
@@ -393,13 +406,15 @@ def _pairs(known: Wordings):
         for pdf in batches:
             rows = []
             for forms in pdf["forms"]:
-                for form in forms:
-                    form = bare(form)
-                    for a, b in find(form):
-                        frame = form[max(a - AROUND, 0):a] + SLOT + form[b:b + AROUND]
-                        if len(frame) >= 8:
-                            rows.append((frame, form[a:b], True))
-                    rows += [(frame, filler, False) for frame, filler in _slots(form, edges)]
+                own = [bare(form) for form in forms]
+                whole = "\n".join(own)
+                for a, b in find(whole):  # no filler reaches over a line end
+                    begin, end = whole.rfind("\n", 0, a) + 1, whole.find("\n", b)
+                    end = len(whole) if end < 0 else end
+                    frame = whole[max(a - AROUND, begin):a] + SLOT + whole[b:min(b + AROUND, end)]
+                    if len(frame) >= 8:
+                        rows.append((frame, whole[a:b], True))
+                rows += [(frame, filler, False) for form in own for frame, filler in _slots(form, edges)]
             if rows:
                 yield pd.DataFrame(rows, columns=["frame", "filler", "known_filler"])
 
@@ -448,7 +463,7 @@ def _ordinary(pdf: pd.DataFrame, flagged: set[str], edges: dict[str, list[tuple[
     for forms in pdf["forms"]:
         for form in forms:
             plain = bare(form)
-            if plain not in flagged and not any(True for _ in _slots(plain, edges)):
+            if plain not in flagged and not _slots(plain, edges):
                 part.append(form)
                 size += len(form)
                 if size > 1 << 19:
