@@ -11,9 +11,11 @@ texts seen there:
   measure does not drift with the number of pages;
 * presentation importance falls with the share of blocks that are one link.
 
-A leaf is removed if either is low. A leaf with too few blocks to judge is
-judged by how many of its texts are *phrases*: texts that make up a fair part
-of some removed leaf on any site. Pages known only as lines of text keep what
+A leaf is removed if either is low. The importance of a branch is the mean of
+its leaves', by blocks. A leaf with too few blocks to judge goes with the lowest
+branch above it that has enough: if nearly all of that branch is removed, so is
+the leaf. Else it is judged by how many of its texts are *phrases*: texts that
+make up a fair part of some removed leaf on any site. Pages known only as lines of text keep what
 stands between the headline and the first text that closes articles on that
 site, without phrases.
 
@@ -41,8 +43,10 @@ from strandline.session import settle
 AGREEMENT = 1 / 50
 #: Leaves with at least this share of pure links are boilerplate.
 LINKED = 0.2
-#: Leaves with fewer blocks are judged by their phrases.
+#: Leaves with fewer blocks are judged by the branch above them and by their phrases.
 EVIDENCE = 30
+#: A branch of less importance takes leaves of few blocks with it.
+BRANCH = 0.1
 #: A phrase makes up this share of a removed leaf, and so many blocks; a leaf of few blocks is
 #: removed if this share of its blocks are phrases.
 PHRASE, PHRASE_LEAST, PHRASES = 0.02, 5, 0.3
@@ -164,17 +168,27 @@ def body_key(blocks: list[dict]) -> int | None:
     return _key(repr(own)) if own else None
 
 
+_PATH = "array<struct<path:long,above:array<long>>>"
+
+
+def above(path: str) -> list[str]:
+    """The branches above a style path, the lowest first."""
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)]
+
+
 def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     paths: dict[str, int] = {}
     for pdf in batches:
-        rows = []
+        rows, seen = [], []
         for site, document in zip(pdf["site"], pdf["html"], strict=True):
-            found = []
+            found, fresh = [], []
             for path, text, linked in page_blocks(document):
                 if path not in paths:
                     if len(paths) > 100_000:
                         paths.clear()
                     paths[path] = _key(path)
+                    fresh.append({"path": paths[path], "above": [_key(p) for p in above(path)]})
                 digest = _digest(text)
                 raw = int.from_bytes(digest[:8], "big", signed=True)
                 alike = masked(text, site)
@@ -182,7 +196,8 @@ def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in zip(found, found[1:], strict=False):
                 a["next"] = b["like"]
             rows.append(found)
-        yield pd.DataFrame({"page_id": pdf["page_id"], "site": pdf["site"], "body": pd.array([body_key(r) for r in rows], dtype="Int64"), "blocks": rows})
+            seen.append(fresh)
+        yield pd.DataFrame({"page_id": pdf["page_id"], "site": pdf["site"], "paths": seen, "body": pd.array([body_key(r) for r in rows], dtype="Int64"), "blocks": rows})
 
 
 def text_lines(raw: str) -> tuple[str | None, list[str]]:
@@ -240,9 +255,21 @@ def leaf_importance(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _judge(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def branch_importance(leaves: DataFrame, paths: DataFrame) -> DataFrame:
+    """Branches of the style trees, for each leaf below and by its distance:
+    ``site, path, up, n, importance``. A branch has the mean importance of its
+    leaves with evidence, by blocks. ``paths`` has the branches ``above`` a path."""
+    place = leaves.join(paths, "path").select("site", "path", "n", "content", "presentation", F.posexplode("above").alias("up", "branch"))
+    kept = ((F.col("content") >= 1) & (F.col("presentation") > 0)).cast("double")
+    held = place.where(f"n >= {EVIDENCE}").groupBy("site", "branch").agg(F.sum("n").alias("n"), (F.sum(kept * F.col("n")) / F.sum("n")).alias("importance"))
+    return place.select("site", "path", "up", "branch").join(held, ["site", "branch"]).drop("branch")
+
+
+def _judge(blocks: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept leaves (``site, path``) and phrases (``like``)."""
-    leaves = leaf_importance(blocks)
+    leaves = settle(leaf_importance(blocks))
+    lowest = branch_importance(leaves, paths).groupBy("site", "path").agg(F.min_by("importance", "up").alias("importance"))
+    taken = lowest.where(F.col("importance") < BRANCH).select("site", "path")
     low = (F.col("agreement") > AGREEMENT) | (F.col("linked") >= LINKED)
     alike = blocks.groupBy("site", "path", "like").agg(F.sum("weight").alias("k")).join(
         leaves.select("site", "path", "n", low.alias("low"), "linked"), ["site", "path"])
@@ -252,7 +279,7 @@ def _judge(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         alike.where(f"n < {EVIDENCE}").join(phrases.withColumn("phrase", F.lit(1)), "like", "left")
         .groupBy("site", "path").agg(
             F.max("linked").alias("linked"), (F.sum(F.coalesce("phrase", F.lit(0)) * F.col("k")) / F.sum("k")).alias("share"))
-        .where(f"linked < {LINKED} AND share < {PHRASES}").select("site", "path")
+        .where(f"linked < {LINKED} AND share < {PHRASES}").select("site", "path").join(taken, ["site", "path"], "left_anti")
     )
     many = leaves.where(~low & (F.col("n") >= EVIDENCE)).select("site", "path")
     return many.unionByName(few), phrases
@@ -287,7 +314,7 @@ def main_blocks(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """
     html_pages = pages.where(F.col("page_id").isNotNull() & F.col("html").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("site", F.lit("")).alias("site"), "html")
-    read = settle(html_pages.mapInPandas(_read_pages, f"page_id long, site string, body long, blocks {_BLOCK}"))
+    read = settle(html_pages.mapInPandas(_read_pages, f"page_id long, site string, paths {_PATH}, body long, blocks {_BLOCK}"))
     # Rows of one page share its weight, and so do pages of a site with one body, so that repeats do not count as agreement.
     repeats = read.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1")
     copies = read.where("body IS NOT NULL").groupBy("site", "body").agg(F.count("*").alias("copies")).where("copies > 1")
@@ -296,7 +323,8 @@ def main_blocks(pages: DataFrame, parsed: DataFrame) -> DataFrame:
         .select("page_id", "site", (1.0 / F.greatest(F.coalesce("rows", F.lit(1)), F.coalesce("copies", F.lit(1)))).alias("weight"), F.posexplode("blocks").alias("pos", "b"))
         .select("page_id", "site", "weight", "pos", "b.*")
     )
-    leaves, phrases = _judge(blocks)
+    paths = settle(read.select(F.explode("paths").alias("p")).select("p.path", "p.above").distinct())
+    leaves, phrases = _judge(blocks, paths)
     leaves = settle(leaves)
     kept = blocks.join(leaves, ["site", "path"], "left_semi")
     from_html = kept.select("page_id", "md5")

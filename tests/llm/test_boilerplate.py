@@ -66,3 +66,22 @@ def test_one_article_on_a_third_of_the_pages(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, site string, title string, html string")
     parsed = spark.createDataFrame([], "page_id long, url string, raw_data string")
     assert {(r.page_id, r.block_md5) for r in boilerplate.main_blocks(frame, parsed).collect()} == want
+
+
+def test_rare_leaves_go_with_their_branch(spark):
+    """A note that stands in few footers has no evidence of its own."""
+    pages, want = [], set()
+    for i in range(60):
+        html = page(i, [f"Paragraph {i} {k} of its own" for k in range(3)])
+        if i % 12 == 5:
+            html = html.replace("<footer>", f"<footer><p class=note>Notice {chr(97 + i)} of the week</p>").replace("</article>", f"<blockquote>Quoted {i} by hand</blockquote></article>")
+            want.add((i, md5(f"Quoted {i} by hand")))
+        pages.append((i, f"https://a.example/{i}", "a.example", f"Title {i} & more", html))
+        want |= {(i, md5(t)) for t in (f"Title {i} & more", *(f"Paragraph {i} {k} of its own" for k in range(3)))}
+    frame = spark.createDataFrame(pages, "page_id long, url string, site string, title string, html string")
+    parsed = spark.createDataFrame([], "page_id long, url string, raw_data string")
+    assert {(r.page_id, r.block_md5) for r in boilerplate.main_blocks(frame, parsed).collect()} == want
+
+
+def test_branches_above_a_path():
+    assert boilerplate.above("div.a/ul/li") == ["div.a/ul", "div.a"] and boilerplate.above("p") == []
