@@ -193,11 +193,11 @@ def sums(texts: list[str], weights: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), len(weights)))
     if not texts:
         return out
-    padded = np.concatenate((weights, np.zeros((len(weights), 1))), axis=1).astype(np.float32)
+    padded = np.concatenate((weights, np.zeros((len(weights), 1))), axis=1).astype(np.float64)
     each, starts, size = grams(texts)
     for key in each:
         for c, w in enumerate(padded):
-            out[:, c] += np.add.reduceat(w[key], starts, dtype=np.float64)
+            out[:, c] += np.add.reduceat(w.take(key), starts)
     return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
@@ -539,11 +539,9 @@ def learned_rows(known: Wordings) -> dict[str, str]:
     return out
 
 
-def exact(form: str, known: Wordings, edges: dict[str, list[tuple[str, str]]]) -> Iterator[str]:
+def exact(form: str, known: Wordings, edges: dict[str, list[tuple[str, str]]]) -> list[str]:
     """Categories whose known frame the sentence is, around a known filler."""
-    for frame, filler in _slots(bare(form), edges):
-        if known.fillers.get(filler) == known.frames[frame]:
-            yield known.frames[frame]
+    return [known.frames[frame] for frame, filler in _slots(bare(form), edges) if known.fillers.get(filler) == known.frames[frame]]
 
 
 def fit_model(forms: DataFrame, samples: pd.DataFrame, lexicon: dict[int, set[str]]) -> tuple[Model, Wordings]:
