@@ -339,13 +339,14 @@ def wave_phase(filtered: DataFrame) -> DataFrame:
 
 def spectrum(df: DataFrame, value: str, size: int = 1024) -> DataFrame:
     """Mean amplitudes by frequency over Hann-windowed stretches of ``size``:
-    ``name, k, period, amplitude``; a name with only a part of a stretch uses that."""
+    ``name, k, period, amplitude``; a name with only a part of a stretch uses that.
+    Parts of fewer than 8 points have no spectrum and do not count."""
     d = df.where(F.col(value).isNotNull()).select("name", "t", F.col(value).cast("double").alias("v"), F.floor(F.col("t") / size).cast("long").alias("stretch"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")["v"].to_numpy()
         if len(y) < 8:
-            return pd.DataFrame({"name": [], "k": [], "amplitude": [], "n": []})
+            return pd.DataFrame({"name": pd.Series(dtype=object), "k": pd.Series(dtype=np.int64), "amplitude": pd.Series(dtype=float), "n": pd.Series(dtype=np.int64)})  # typed, as Arrow takes no empty string column of floats
         a = np.abs(np.fft.rfft((y - y.mean()) * np.hanning(len(y)), size)) * 2 / len(y)
         return pd.DataFrame({"name": pdf["name"].iloc[0], "k": np.arange(1, len(a)), "amplitude": a[1:], "n": len(y)})
 

@@ -153,6 +153,17 @@ def test_order_and_filters(spark):
     assert top.period == 32
 
 
+def test_spectrum_beside_parts_of_few_points(spark):
+    # 1,024 points and three of the next stretch; a name of two points only.
+    wave = [("n", i, float(np.sin(2 * np.pi * i / 32))) for i in range(1027)]
+    df = spark.createDataFrame([*wave, ("few", 0, 1.0), ("few", 1, 2.0), ("part", 5000, 1.0), *(("part", i, float(i % 2)) for i in range(8)), ("part", 9, None)], "name string, t long, v double")
+    got = {(r.name, r.k): r.amplitude for r in L.spectrum(df, "v").collect()}
+    assert {n for n, _ in got} == {"n", "part"} and len(got) == 2 * 512
+    for name, y in (("n", np.array([v for _, _, v in wave[:1024]])), ("part", np.arange(8) % 2)):
+        want = np.abs(np.fft.rfft((y - y.mean()) * np.hanning(len(y)), 1024)) * 2 / len(y)
+        assert np.allclose([got[name, k] for k in range(1, 513)], want[1:])
+
+
 # ----------------------------------------------------------------- networks
 
 
