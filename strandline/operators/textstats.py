@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,18 +120,40 @@ def sentiment(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when(pol > 0.05, "positive").when(pol < -0.05, "negative").otherwise("neutral").alias("label"))
 
 
+def _best_sentences(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """For ``key, s, w`` (sentences and the words of each): ``key, summary``."""
+    for batch in batches:
+        key, held, words = batch.columns
+        if not len(key):
+            continue
+        per_doc = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(key)), per_doc)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+        by_sentence = words.flatten()
+        n = pc.list_value_length(by_sentence).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = by_sentence.flatten().dictionary_encode()
+        pair = np.repeat(doc, n) * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+        _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+        upto = np.concatenate([[0], np.cumsum(count[which])])
+        end = np.cumsum(n)
+        some = np.flatnonzero(n)  # sentences without such words have no score
+        score = (upto[end] - upto[end - n])[some] / n[some]
+        ranked = some[np.lexsort((place[some], -score, doc[some]))]
+        of = doc[ranked]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        best = np.sort(ranked[rank < k])
+        docs, chosen = np.unique(doc[best], return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen)]), pa.int32()), held.flatten().take(pa.array(best, pa.int64())))
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(docs, pa.int64())), pc.binary_join(lists, ". ")], ["key", "summary"])
+
+
 def summarise(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     """The ``k`` sentences that hold most of the text's frequent words, in
-    their order: ``key, summary``."""
-    pieces = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("i", "s")).withColumn("w", T.content_tokens(F.col("s")))
-    freq = pieces.select(key, F.explode("w").alias("t")).groupBy(key, "t").agg(F.count("*").alias("f"))
-    scored = (
-        pieces.select(key, "i", F.size("w").alias("n"), F.explode("w").alias("t")).join(freq, [key, "t"])
-        .groupBy(key, "i").agg((F.sum("f") / F.max("n")).alias("score"))
-    )
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "i")
-    best = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).join(pieces.select(key, "i", "s"), [key, "i"])
-    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), ". ").alias("summary"))
+    their order: ``key, summary``. Each row is one text and nothing is shuffled:
+    words are counted by text in the worker that reads it."""
+    split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), T.sentences(F.col(text)).alias("s"))
+    worded = split.select("key", "s", F.transform("s", T.content_tokens).alias("w"))
+    return worded.mapInArrow(lambda batches: _best_sentences(batches, k), f"key {dict(split.dtypes)['key']}, summary string").withColumnRenamed("key", key)
 
 
 def rake(docs: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 from statistics import NormalDist
 
@@ -79,6 +81,27 @@ def test_summary_rake_and_empty_texts(spark):
     assert {r.doc_id for r in textstats.profile(df, "doc_id", "text").collect()} == {1, 2, 3}
 
 
+def test_summaries_equal_plain_python_without_a_shuffle(spark):
+    rng = random.Random(4)
+    words = ["apples", "trees", "the", "of", "rain", "x", "Rain", "straße", "国语", "7", "data_1", "was"]
+    texts = ["".join(" ".join(rng.choices(words, k=rng.randint(1, 7))) + rng.choice([". ", "! ", "?! ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += ["the of was. of the.", "no. ", "Rain. Rain. Rain. Rain.", "...", ""]
+    df = spark.createDataFrame([*((f"d{i}", t) for i, t in enumerate(texts)), ("null", None), (None, "Rain fell.")], "name string, text string").repartition(3)
+    want = {}
+    for i, t in enumerate(texts):
+        held = [s.strip(" ") for s in re.split(r"[.!?]+\s*|\n", t)]
+        held = [s for s in held if len(s) > 2]
+        content = [[w for w in re.findall(r"\w+", s.lower()) if len(w) > 1 and w not in text.STOP_WORDS] for s in held]
+        f = Counter(w for c in content for w in c)
+        best = sorted((-sum(f[w] for w in c) / len(c), j) for j, c in enumerate(content) if c)[:3]
+        if best:
+            want[f"d{i}"] = ". ".join(held[j] for j in sorted(j for _, j in best))
+    out = textstats.summarise(df, "name", "text")
+    assert {r.name: r.summary for r in out.collect()} == want and out.count() == len(want) > 50
+    plan = textstats.summarise(spark.createDataFrame([("a", "b")], "name string, text string"), "name", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_fingerprints_of_near_and_far_texts(spark):
     base = "the maintainer noted that the spread looked noisy after many observations " * 3
     df = spark.createDataFrame([(1, base), (2, base), (3, base + "x"), (4, "completely different words about cooking rice and beans"), (5, ""), (6, None)], "doc_id long, text string")
