@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from statistics import NormalDist
@@ -342,6 +343,19 @@ def test_normal_distribution_and_options(spark):
     assert (expired.c, expired.p) == (0.0, 5.0)
 
 
+def test_implied_volatility_of_many_and_of_missing_prices(spark):
+    c = [F.col(x) for x in "sktr"]
+    many = spark.range(200_000).select((F.col("id") % 1999 + 900.0).alias("s"), F.lit(1000.0).alias("k"), F.lit(1.0).alias("t"), F.lit(0.02).alias("r"), (F.col("id") % 50 / 100 + 0.2).alias("v"))
+    began = time.monotonic()
+    found = many.select("v", finance.implied_volatility(finance.call(*c, F.col("v")), *c).alias("iv"))
+    assert found.agg(F.max(F.abs(F.col("iv") - F.col("v")))).first()[0] < 1e-3
+    assert time.monotonic() - began < 60  # a fold over the closed form takes minutes
+    odd = spark.createDataFrame([(None, 100.0, 1.0), (5.0, None, 1.0), (5.0, 100.0, None), (7.0, 100.0, 1.0), (5.0, 100.0, 0.0), (-1.0, 100.0, 1.0)], "p double, s double, t double")
+    got = [r.iv for r in odd.select(finance.implied_volatility(F.col("p"), F.col("s"), F.lit(105.0), F.col("t"), F.lit(0.02)).alias("iv")).collect()]
+    assert got[:3] == [None] * 3 and 0.1 < got[3] < 0.3
+    assert got[4] == pytest.approx(5.0) and got[5] == pytest.approx(1e-4)  # the bounds, where no volatility gives the price
+
+
 # -------------------------------------------------------------------- streaming
 
 
