@@ -2,19 +2,25 @@
 
 Texts with the same set of shingles are one class from the start and are not
 paired. Between the others the join is exact by prefix filtering: with all
-shingles ordered by rarity, two sets of Jaccard similarity t or more share one
-of the rarest |x| - ceil(t |x|) + 1 of each, so only those are joined; frequent
-shingles hardly ever are among them. Candidates of too different size are
-dropped before they are made, the rest is verified on the whole sets. Classes
-are the connected components of what holds.
+shingles in one order, two sets of Jaccard similarity t or more share one of
+the first |x| - ceil(t |x|) + 1 of each, so only those are joined. The order is
+by rarity, as frequent shingles then hardly ever are among them; any order is
+exact, so rarity is read from counters that shingles share, of fixed size.
+
+Sets take several times the room of their texts and are not written down: they
+are made in the worker that reads the text, once for the counters and once for
+the prefixes. How many shingles of their prefixes two sets share bounds their
+similarity, and only for pairs within this bound whole sets are made again and
+compared. Classes are the connected components of what holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,47 +29,142 @@ from strandline.operators import graph
 from strandline.session import settle
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Shared counters (2 to this power), and how many of them a row holds.
+COUNTERS, CHUNK = 22, 4096
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+#: Odd factors of the places of a shingle.
+_PLACES = tuple(int.from_bytes(hashlib.blake2b(b"place %d" % i, digest_size=8).digest(), "big") | 1 for i in range(SHINGLE))
+
+
+class _Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        return h
+
+
+_HASHES = _Hashes()
 
 
-def shingles(text: str, size: int = SHINGLE) -> list[int]:
-    """Distinct hashed shingles; a shorter text is one shingle."""
+def shingles(text: str, hashes: _Hashes = _HASHES) -> np.ndarray:
+    """Distinct hashed shingles in order; a shorter text is one shingle."""
+    if len(hashes) > 500_000:
+        hashes.clear()
     words = _WORD.findall(text.lower())
-    spans = {" ".join(words[i:i + size]) for i in range(max(len(words) - size + 1, 1))}
-    return sorted(int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for s in spans)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(len(h) - SHINGLE + 1, 1)
+    out = np.zeros(n, np.uint64)
+    for i, place in enumerate(_PLACES[:len(h)]):
+        out += h[i:i + n] * np.uint64(place)
+    return np.unique(out)
+
+
+def _sign(held: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(held.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def _counter(held: np.ndarray) -> np.ndarray:
+    return (held >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sign of each set, then in how many of them each counter's shingles
+    are. A counter of one stands for shingles of one text."""
+    counts = np.zeros(1 << COUNTERS, np.uint32)
+    for pdf in batches:
+        signs = []
+        for t in pdf["text"]:
+            held = shingles(t)
+            counts[_counter(held)] += 1
+            signs.append(_sign(held))
+        yield pd.DataFrame({"id": pdf["id"], "sign": np.array(signs, np.int64), "chunk": np.full(len(signs), -1, np.int32), "counts": None})
+    rows = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, CHUNK)
+    some = np.flatnonzero(rows.any(axis=1))
+    if len(some):
+        yield pd.DataFrame({"id": np.zeros(len(some), np.int64), "sign": np.zeros(len(some), np.int64), "chunk": some.astype(np.int32), "counts": [rows[i].tobytes() for i in some]})
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(CHUNK, np.int64)
+    for c in pdf["counts"]:
+        total += np.frombuffer(c, np.uint16)
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+
+
+def _prefixes(counts, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each set the shingles of its prefix that other texts may have too.
+    Alone a shingle joins nothing, but it takes its place in the prefix."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = counts.value
+        for pdf in batches:
+            keys, signs, sizes, each = [], [], [], []
+            for t in pdf["text"]:
+                held = shingles(t)
+                n, k = len(held), known[_counter(held)]
+                first = np.lexsort((held, k))[:n - int(np.ceil(least * n - 1e-9)) + 1]
+                first = first[k[first] > 1]
+                if len(first):
+                    keys.append(held[first].view(np.int64))
+                    signs.append(_sign(held))
+                    sizes.append(n)
+                    each.append(len(first))
+            if keys:
+                yield pd.DataFrame({"s": np.concatenate(keys), "sign": np.repeat(np.array(signs, np.int64), each), "n": np.repeat(np.array(sizes, np.int32), each)})
+
+    return work
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         held = [shingles(t) for t in pdf["text"]]
         if held:
-            yield pd.DataFrame({"id": pdf["id"], "set": held, "sign": [hashlib.md5(repr(s).encode()).hexdigest() for s in held]})
-
-
-def similar_pairs(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Pairs of ``id, set`` with that similarity: ``src, dst, similarity``."""
-    size = F.size("set")
-    tokens = sets.select("id", size.alias("n"), F.explode("set").alias("s"))
-    rare = tokens.groupBy("s").agg(F.count("*").alias("df"))
-    # Alone a shingle joins nothing, but it takes its place in the prefix.
-    ranked = tokens.join(rare, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by"))
-    prefix = F.slice("by", 1, F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1)
-    keys = settle(ranked.select("id", "n", F.explode(prefix).alias("k")).where("k.df > 1").select("id", "n", "k.s"))
-    a, b = keys.select("s", F.col("id").alias("src"), F.col("n").alias("na")), keys.select("s", F.col("id").alias("dst"), F.col("n").alias("nb"))
-    near = a.join(b, "s").where((F.col("src") < F.col("dst")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)).select("src", "dst").distinct()
-    both = near.join(sets.select(F.col("id").alias("src"), F.col("set").alias("x")), "src").join(sets.select(F.col("id").alias("dst"), F.col("set").alias("y")), "dst")
+            yield pd.DataFrame({"sign": [_sign(s) for s in held], "set": [s.view(np.int64) for s in held]})
+
+
+def _candidates(keys: DataFrame, least: float) -> DataFrame:
+    """Pairs ``src, dst`` of signs that may be that similar.
+
+    Of two prefixes one ends first in the common order. What the sets share up
+    to there is in both prefixes; the rest of the set whose prefix ended first,
+    ceil(t n) - 1 shingles, is all that they can share beyond."""
+    n = F.col("n")
+    keys = keys.distinct()
+    a, b = (keys.select("s", F.col("sign").alias(x), n.alias(f"n_{x}")) for x in ("src", "dst"))
+    x, y = F.col("n_src"), F.col("n_dst")
+    both = a.join(b, "s").where((F.col("src") < F.col("dst")) & (x >= least * y - 1e-9) & (y >= least * x - 1e-9))
+    beyond = F.ceil(least * F.greatest(x, y) - 1e-9) - 1
+    need = F.ceil(least / (1 + least) * (x + y) - beyond - 1e-3).cast("int")
+    return both.select("src", "dst", need.alias("need")).groupBy("src", "dst", "need").agg(F.count("*").alias("k")).where("k >= need").select("src", "dst")
+
+
+def _similar(src: DataFrame, heads: DataFrame, least: float, counted: DataFrame) -> DataFrame:
+    """Pairs of heads with that similarity: ``src, dst, similarity``."""
+    spark = src.sparkSession
+    counts = np.zeros(((1 << COUNTERS) // CHUNK, CHUNK), np.uint16)
+    for r in counted.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_added, "chunk int, counts binary").collect():
+        counts[r.chunk] = np.frombuffer(r.counts, np.uint16)
+    known = spark.sparkContext.broadcast(counts.reshape(-1))
+    keys = settle(src.select("text").mapInPandas(_prefixes(known, least), "s long, sign long, n int"))
+    near = settle(_candidates(keys, least))
+    some = near.select(F.explode(F.array("src", "dst")).alias("sign")).distinct()
+    ids = heads.join(some, "sign").select(F.col("head").alias("id"))
+    sets = settle(src.join(ids, "id", "left_semi").mapInPandas(_sets, "sign long, set array<long>").dropDuplicates(["sign"]).join(heads, "sign"))
+    both = near.join(sets.select(F.col("sign").alias("src"), F.col("head").alias("a"), F.col("set").alias("x")), "src").join(sets.select(F.col("sign").alias("dst"), F.col("head").alias("b"), F.col("set").alias("y")), "dst").where("a <> b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("src", "dst", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
 
 def classes(docs: DataFrame, key: str, text: str, least: float = SIMILAR) -> DataFrame:
     """Each document with its class, the smallest id in it, and the number of
     distinct texts it is linked with: ``key, class_id, n_links``."""
     src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    sets = settle(src.mapInPandas(_sets, "id long, set array<long>, sign string"))
-    heads = settle(sets.groupBy("sign").agg(F.min("id").alias("head"), F.first("set").alias("set")))
-    pairs = settle(similar_pairs(heads.select(F.col("head").alias("id"), "set"), least))
-    parts = graph.components(heads.select(F.col("head").alias("id")), pairs)
+    counted = settle(src.mapInPandas(_count, "id long, sign long, chunk int, counts binary"))
+    signs = counted.where("chunk < 0").select("id", "sign")
+    heads = settle(signs.groupBy("sign").agg(F.min("id").alias("head")))
+    pairs = settle(_similar(src, heads, least, counted))
+    parts = graph.components(heads.select(F.col("head").alias("id")).distinct(), pairs)
     links = pairs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = heads.select("sign", "head").join(parts.withColumnRenamed("id", "head"), "head").join(links.withColumnRenamed("id", "head"), "head", "left")
-    return sets.select("id", "sign").distinct().join(named, "sign").select(F.col("id").alias(key), F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = heads.join(parts.withColumnRenamed("id", "head"), "head").join(links.withColumnRenamed("id", "head"), "head", "left")
+    return signs.distinct().join(named, "sign").select(F.col("id").alias(key), F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
