@@ -10,7 +10,8 @@ exact, so rarity is read from counters that shingles share, of fixed size.
 Sets take several times the room of their texts and are not written down: they
 are made in the worker that reads the text, once for the counters and once for
 the prefixes. How many shingles of their prefixes two sets share bounds their
-similarity, and only for pairs within this bound whole sets are made again and
+similarity, then so does how many shingles they have in each of 128 parts of
+the hashes. Only for pairs within both bounds whole sets are made again and
 compared. Classes are the connected components of what holds.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from strandline.session import settle
 SHINGLE, SIMILAR = 5, 0.8
 #: Shared counters (2 to this power), and how many of them a row holds.
 COUNTERS, CHUNK = 22, 4096
+#: Parts of the hashes in which the shingles of a set are counted.
+PARTS = 128
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 #: Odd factors of the places of a shingle.
 _PLACES = tuple(int.from_bytes(hashlib.blake2b(b"place %d" % i, digest_size=8).digest(), "big") | 1 for i in range(SHINGLE))
@@ -68,27 +72,34 @@ def _counter(held: np.ndarray) -> np.ndarray:
     return (held >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
+def _profile(held: np.ndarray) -> bytes:
+    """How many shingles are in each part, in bytes; empty where one has more."""
+    c = np.bincount((held & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sign of each set, then in how many of them each counter's shingles
+    """The sign and profile of each set, then in how many of them each counter's shingles
     are. A counter of one stands for shingles of one text."""
     counts = np.zeros(1 << COUNTERS, np.uint32)
     for pdf in batches:
-        signs = []
+        signs, profiles = [], []
         for t in pdf["text"]:
             held = shingles(t)
+            profiles.append(_profile(held))
             counts[_counter(held)] += 1
             signs.append(_sign(held))
-        yield pd.DataFrame({"id": pdf["id"], "sign": np.array(signs, np.int64), "chunk": np.full(len(signs), -1, np.int32), "counts": None})
+        yield pd.DataFrame({"id": pdf["id"], "sign": np.array(signs, np.int64), "chunk": np.full(len(signs), -1, np.int32), "counts": profiles})
     rows = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, CHUNK)
     some = np.flatnonzero(rows.any(axis=1))
     if len(some):
-        yield pd.DataFrame({"id": np.zeros(len(some), np.int64), "sign": np.zeros(len(some), np.int64), "chunk": some.astype(np.int32), "counts": [rows[i].tobytes() for i in some]})
+        yield pd.DataFrame({"id": np.zeros(len(some), np.int64), "sign": np.zeros(len(some), np.int64), "chunk": some.astype(np.int32), "counts": [zlib.compress(rows[i].tobytes(), 1) for i in some]})
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, np.int64)
     for c in pdf["counts"]:
-        total += np.frombuffer(c, np.uint16)
+        total += np.frombuffer(zlib.decompress(c), np.uint16)
     return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
 
 
@@ -116,11 +127,40 @@ def _prefixes(counts, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return work
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        held = [shingles(t) for t in pdf["text"]]
-        if held:
-            yield pd.DataFrame({"sign": [_sign(s) for s in held], "set": [s.view(np.int64) for s in held]})
+def _marked(pdf: pd.DataFrame) -> pd.DataFrame:
+    flags = np.zeros(CHUNK, bool)
+    flags[pdf["at"].to_numpy()] = True
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "flags": [np.packbits(flags).tobytes()]})
+
+
+def _within(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs whose profiles allow the similarity: what two sets share is in no
+    part more than the lesser of both counts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = np.array([bool(x) and bool(y) for x, y in zip(pdf["x"], pdf["y"], strict=True)], bool)
+            some = pdf[known]
+            x, y = (np.frombuffer(b"".join(some[c]), np.uint8).reshape(-1, PARTS) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            all_ = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - most
+            known[known] = most < (least - 1e-6) * all_
+            yield pdf.loc[~known, ["src", "dst"]]
+
+    return work
+
+
+def _sets(flags) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sets of the texts whose ids may be wanted; others share a flag with one
+    that is, and are left out by the join."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [shingles(t) for t in pdf["text"][flags.value[pdf["id"].to_numpy() & ((1 << COUNTERS) - 1)]]]
+            if held:
+                yield pd.DataFrame({"sign": [_sign(s) for s in held], "set": [s.view(np.int64) for s in held]})
+
+    return work
 
 
 def _candidates(keys: DataFrame, least: float) -> DataFrame:
@@ -146,11 +186,18 @@ def _similar(src: DataFrame, heads: DataFrame, least: float, counted: DataFrame)
     for r in counted.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_added, "chunk int, counts binary").collect():
         counts[r.chunk] = np.frombuffer(r.counts, np.uint16)
     known = spark.sparkContext.broadcast(counts.reshape(-1))
-    keys = settle(src.select("text").mapInPandas(_prefixes(known, least), "s long, sign long, n int"))
-    near = settle(_candidates(keys, least))
-    some = near.select(F.explode(F.array("src", "dst")).alias("sign")).distinct()
-    ids = heads.join(some, "sign").select(F.col("head").alias("id"))
-    sets = settle(src.join(ids, "id", "left_semi").mapInPandas(_sets, "sign long, set array<long>").dropDuplicates(["sign"]).join(heads, "sign"))
+    keys = src.select("text").mapInPandas(_prefixes(known, least), "s long, sign long, n int")
+    maybe = settle(_candidates(keys, least))
+    profiles = counted.where("chunk < 0").groupBy("sign").agg(F.first("counts").alias("p"))
+    faced = maybe.join(profiles.select(F.col("sign").alias("src"), F.col("p").alias("x")), "src").join(profiles.select(F.col("sign").alias("dst"), F.col("p").alias("y")), "dst")
+    near = settle(faced.select("src", "dst", "x", "y").mapInPandas(_within(least), "src long, dst long"))
+    wanted = heads.join(near.select(F.explode(F.array("src", "dst")).alias("sign")).distinct(), "sign")
+    place = F.col("head").bitwiseAND((1 << COUNTERS) - 1)
+    flags = np.zeros((1 << COUNTERS) // CHUNK * CHUNK, bool)
+    for r in wanted.select((place / CHUNK).cast("int").alias("chunk"), (place % CHUNK).cast("int").alias("at")).groupBy("chunk").applyInPandas(_marked, "chunk int, flags binary").collect():
+        flags[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.flags, np.uint8)).astype(bool)
+    made = src.mapInPandas(_sets(spark.sparkContext.broadcast(flags)), "sign long, set array<long>")
+    sets = settle(made.join(wanted, "sign").dropDuplicates(["sign"]))
     both = near.join(sets.select(F.col("sign").alias("src"), F.col("head").alias("a"), F.col("set").alias("x")), "src").join(sets.select(F.col("sign").alias("dst"), F.col("head").alias("b"), F.col("set").alias("y")), "dst").where("a <> b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= least - 1e-9)

@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,32 @@ def test_moments_of_returns_and_tree(spark):
 def test_simulated_prices(spark):
     out = models.simulate_paths(spark, 20_000, 100.0, 0.05, 0.2, 1.0, 3).agg(F.avg("value").alias("m"), F.count("*").alias("n")).first()
     assert out.n == 20_000 and out.m == pytest.approx(100 * math.exp(0.05), rel=0.01)
+
+
+def test_profiles_bound_what_sets_share(spark):
+    rng = np.random.default_rng(5)
+    some = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64))
+    assert neardup._profile(some) == b""  # more than a byte holds: never left out
+    a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    other = np.unique(np.concatenate([a[:100], rng.integers(0, 2**63, 100).astype(np.uint64)]))
+    near = np.unique(np.concatenate([a[:185], rng.integers(0, 2**63, 15).astype(np.uint64)]))
+    faced = [(1, a, other), (2, a, near), (3, a, some), (4, a, a)]
+    pdf = pd.DataFrame({"src": [i for i, _, _ in faced], "dst": 9, "x": [neardup._profile(x) for _, x, _ in faced], "y": [neardup._profile(y) for _, _, y in faced]})
+    assert [i for out in neardup._within(0.8)([pdf]) for i in out["src"]] == [2, 3, 4]
+
+
+def test_near_duplicates_send_only_sets_within_bounds(spark):
+    rng = random.Random(3)
+    part = " ".join(f"shared{i}" for i in range(12))  # eight shingles of each text's fifty
+    texts = [" ".join([part, *(f"w{rng.randint(0, 10**6)}" for _ in range(42))]) for _ in range(40)]
+    texts.append(texts[0] + " end")
+    src = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    from strandline.session import settle
+
+    counted = settle(src.mapInPandas(neardup._count, "id long, sign long, chunk int, counts binary"))
+    heads = counted.where("chunk < 0").select("sign", F.col("id").alias("head"))
+    pairs = neardup._similar(src, heads, 0.8, counted)
+    assert [(r.src, r.dst) for r in pairs.collect()] == [(0, 40)]
+    # The whole sets that were written: those of one pair, not of every text.
+    sets = [f for f in pairs.inputFiles()]
+    assert spark.read.parquet(*{f.rsplit("/", 1)[0] for f in sets if "set" in spark.read.parquet(f).columns}).count() == 2
