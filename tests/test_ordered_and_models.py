@@ -14,6 +14,7 @@ from strandline.operators import models_linear as L
 from strandline.operators import network as N
 from strandline.operators import ordered as O
 from strandline.operators import relational as R
+from strandline.plans import linear
 
 
 @pytest.fixture(scope="module")
@@ -164,6 +165,21 @@ def test_spectrum_beside_parts_of_few_points(spark):
         assert np.allclose([got[name, k] for k in range(1, 513)], want[1:])
 
 
+def test_series_spectrum_of_prices_with_short_ends(spark, tmp_path):
+    # Returns of a name reach 6 points into its second stretch; another has 3 prices; bad and repeated rows do not count.
+    rng = np.random.default_rng(9)
+    steps = {"long": rng.normal(size=1030) / 50, "small": rng.normal(size=9) / 50, "three": np.zeros(3)}
+    rows = [(n, i, float(v), "price") for n, y in steps.items() for i, v in enumerate(100 * np.exp(np.cumsum(y)))]
+    rows += [rows[5], ("small", 9, float("nan"), "price"), ("small", 10, -1.0, "price"), (None, 0, 1.0, "price"), *(("rate", i, 1.0 + i, "pct") for i in range(20))]
+    df = spark.createDataFrame(rows, "name string, t long, close_value double, unit string")
+    df.withColumn("ts", F.timestamp_seconds("t")).write.parquet(str(tmp_path / "series.parquet"))
+    got = {(r.name, r.k): (r.period, r.amplitude) for r in linear.series_spectrum(spark, str(tmp_path)).collect()}
+    assert set(got) == {(n, k) for n in ("long", "small") for k in range(1, 513)}
+    for name, y in (("long", steps["long"][1:1024]), ("small", steps["small"][1:])):
+        want = np.abs(np.fft.rfft((y - y.mean()) * np.hanning(len(y)), 1024)) * 2 / len(y)
+        assert np.allclose([got[name, k] for k in range(1, 513)], [(1024 / k, want[k]) for k in range(1, 513)])
+
+
 # ----------------------------------------------------------------- networks
 
 
